@@ -55,20 +55,27 @@ def fold(doc_id: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, limit: int):
-    """At most `limit` labelled rows per class outside the held-out fold, lowest id hash first; to the driver.
+def lowest(rows: DataFrame, by: str, values: list, limit: int) -> DataFrame:
+    """Rows of (doc_id, by) with the `limit` lowest id hashes of each value; at most len(values) * limit rows, ties aside."""
+    hashed = rows.select("doc_id", by, F.xxhash64("doc_id").alias("h"))
+    kept = None
+    for v in values:
+        own = hashed.where(F.col(by) == F.lit(v))
+        own = own.orderBy("h").limit(limit)
+        kept = own if kept is None else kept.unionByName(own)
+    return kept
 
-    The bound is a parameter of each classifier; ids only choose rows, they are no input of the model.
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, limit: int) -> tuple[list[str], list[str]]:
+    """Texts of at most `limit` labelled rows of each class outside the held-out fold; lowest id hash first.
+
+    The bound is a parameter of each classifier. Ids only choose rows, they are no input of a model.
     """
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (fold("doc_id", folds) != 0))
-        .join(labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"]), "doc_id")
-    )
-    order = [F.xxhash64("doc_id"), F.col("text")]
-    # what comes to the driver is cut per text only in the classifiers' own windows, never here
-    parts = [rows.where(F.col("y") == y).orderBy(*order).limit(limit).select("text").collect() for y in (0, 1)]
-    return [r[0] for r in parts[0]], [r[0] for r in parts[1]]
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", folds) != 0)).select("doc_id", F.col(label).cast("int").alias("y"))
+    chosen = lowest(usable.groupBy("doc_id").agg(F.max("y").alias("y")), "y", [0, 1], limit)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    found = rows.orderBy("h", "text").limit(2 * limit).select("y", "text").collect()
+    return [r.text for r in found if not r.y], [r.text for r in found if r.y]
 
 
 def slices(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:

@@ -6,6 +6,8 @@ from importlib import import_module
 
 _WHERE = {
     "op8_sharding": "sharding",
+    "op9_pii": "pii",
+    "op10_language_id": "language",
 }
 
 
