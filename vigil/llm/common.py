@@ -109,7 +109,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 22)
         base = 0x5851F42D4C957F2D
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b))).astype(U64)) for b in (U64(base), U64(pow(base, -1, 1 << 64)))]
+        rows = [np.full(size, b, U64) for b in (base, pow(base, -1, 1 << 64))]
+        for x in rows:
+            x[0] = 1
+            np.cumprod(x, out=x)
+        _POWERS[:] = rows
     return _POWERS[0], _POWERS[1]
 
 
@@ -119,17 +123,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
+NOT_ALNUM = np.arange(256) < 128
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
 class Words:
     """Words of several texts at once: byte bounds, 64-bit hashes, and each text's range of words."""
 
     def __init__(self, texts: list[str], breaks: np.ndarray = SPACE):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.raw = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        self.raw = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
         self.data = LOWER[self.raw]
-        first = np.concatenate(([0], np.cumsum(lens + 1)))
+        first = np.concatenate(([1], 1 + np.cumsum(lens + 1)))
         inside = ~breaks[self.data]
-        inside[first[1:] - 1] = False
+        inside[first - 1] = False
         edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8)))))
         self.start, self.end = edge[::2], edge[1::2]
         self.bounds = np.searchsorted(self.start, first)
@@ -141,3 +149,30 @@ class Words:
         total = np.concatenate((np.zeros(1, U64), np.cumsum(total)))
         h = (total[self.end] - total[self.start]) * down[self.start]
         return mix64(h ^ (self.end - self.start).astype(U64))
+
+
+def adam(params: list[np.ndarray], grads: list[np.ndarray], state: dict, rate: float, b1: float = 0.9, b2: float = 0.999) -> None:
+    """One step, in place."""
+    t = state["t"] = state.get("t", 0) + 1
+    for i, (p, g) in enumerate(zip(params, grads, strict=True)):
+        m, v = state.setdefault(i, (np.zeros_like(p), np.zeros_like(p)))
+        m += (1 - b1) * (g - m)
+        v += (1 - b2) * (g * g - v)
+        p -= rate * (m / (1 - b1**t)) / (np.sqrt(v / (1 - b2**t)) + 1e-8)
+
+
+def score_texts(docs: DataFrame, score, folds: int, threshold: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted); score: list of texts -> array of probabilities."""
+    import pandas as pd
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            parts = [score(texts[a:b]) for a, b in slices(texts)]
+            p = np.concatenate(parts) if parts else np.zeros(0)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": p.astype(float), "predicted": (p >= threshold).astype("int32")})
+
+    held = docs.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "text")
+    return held.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")

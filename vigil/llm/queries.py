@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op3_toxicity": "toxicity",
+    "op4_quality": "quality",
     "op8_sharding": "sharding",
     "op9_pii": "pii",
     "op10_language_id": "language",
