@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op1_fingerprints": "winnowing",
+    "op2_sentencepiece": "pieces",
     "op3_toxicity": "toxicity",
     "op4_quality": "quality",
     "op8_sharding": "sharding",
