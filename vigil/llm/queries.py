@@ -9,6 +9,7 @@ _WHERE = {
     "op2_sentencepiece": "pieces",
     "op3_toxicity": "toxicity",
     "op4_quality": "quality",
+    "op6_ngram_jaccard": "jaccard",
     "op8_sharding": "sharding",
     "op9_pii": "pii",
     "op10_language_id": "language",
