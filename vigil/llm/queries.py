@@ -9,6 +9,7 @@ _WHERE = {
     "op2_sentencepiece": "pieces",
     "op3_toxicity": "toxicity",
     "op4_quality": "quality",
+    "op5_decontamination": "decontamination",
     "op6_ngram_jaccard": "jaccard",
     "op8_sharding": "sharding",
     "op9_pii": "pii",
