@@ -11,6 +11,7 @@ _WHERE = {
     "op4_quality": "quality",
     "op5_decontamination": "decontamination",
     "op6_ngram_jaccard": "jaccard",
+    "op7_line_dedup": "lines",
     "op8_sharding": "sharding",
     "op9_pii": "pii",
     "op10_language_id": "language",
