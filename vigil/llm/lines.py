@@ -123,7 +123,7 @@ def line_dedup_stage(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents),
-t AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(lower(line), '[ \t\x0b\x0c\r]+'), x -> x <> '') AS w FROM l),
+t AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(lower(line), '[ \t\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM l),
 j AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS k FROM t WHERE len(w) >= {LEAST_WORDS}),
 u AS (SELECT k, min((doc_id, no)) AS pos, first(w) AS w FROM j GROUP BY k),
 big AS (SELECT * FROM u WHERE len(w) >= {NEAR_WORDS}),
