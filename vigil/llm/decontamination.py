@@ -57,6 +57,10 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _marked(hashes: Column, n: int) -> Column:
+    return F.transform(hashes, lambda g: F.struct(F.lit(n).alias("len"), g.alias("g")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, items) of each document; items: sorted ids, null if none."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").select(
@@ -72,8 +76,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.lower("text")).alias("f"))
     rows = winnowed(rows, "f", "kept")
-    found = [F.transform("kept", lambda g: F.struct(F.lit(0).alias("len"), g.alias("g")))]
-    found += [F.transform(F.array_distinct(grams("f", n)), lambda g, n=n: F.struct(F.lit(n).alias("len"), g.alias("g"))) for n in short]
+    found = [_marked(F.col("kept"), 0), *[_marked(F.array_distinct(grams("f", n)), n) for n in short]]
     rows = common.materialise(rows.select("doc_id", "text_hash", F.size("f").cast("long").alias("n_words"), (F.concat(*found) if short else found[0]).alias("marks")))
     again = rows.select("text_hash", F.explode("marks").alias("m")).select("text_hash", "m.*").join(marks, ["len", "g"], "left_semi").select("text_hash").distinct()
     again = common.materialise(again)
@@ -112,8 +115,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Keeps the documents that are not contaminated, as they were."""
     bad = contamination(docs, benchmark).where(contaminated()).select("text_hash").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    return rows.join(sized(common.materialise(bad.withColumnRenamed("text_hash", "_hash"))), "_hash", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(sized(common.materialise(bad)), "text_hash", "left_anti").select("doc.*")
 
 
 ORACLE_SQL = rf"""

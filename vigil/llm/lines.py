@@ -94,17 +94,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with their dropped lines cut out of `text`; adds _n_lines and _n_dropped."""
-    gone = common.materialise(dropped_lines(docs).select(F.xxhash64("doc_id", "text_hash").alias("_key"), "gone"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(gone, "_key", "left")
-    lines = F.split("text", "\n")
+    """The documents with their dropped lines cut out of `text`; adds _n_lines and _n_dropped (in place of columns of those names)."""
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    gone = common.materialise(dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone"))
+    rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
+    text = F.col("doc.text")
+    lines = F.split(text, "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda i: i + 1))
     ends = F.concat("gone", F.array(F.size(lines)))
     kept = F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s))), "\n")
-    counted = rows.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn(
-        "_n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return rows.select(
+        *[F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in names],
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_dropped"),
     )
-    return counted.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "_n_lines", "_n_dropped")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
