@@ -4,9 +4,10 @@
    what many texts share stays out of the prefixes; any order is exact, the sketch only keeps posting lists short.
 2. Documents with the same prefix and size form one group; equal sets in it form one node (its id: the hash of the set).
 3. Groups meet over the prefix's shingles. Posting lists of one group go at once. In the others the groups are
-   linked to a hub first, the pairs filtered by size and verified on the whole sets; then connected components of the
-   verified links are taken, and this again with other hubs. What is left, groups of one list still in different
-   components, is enumerated and verified, so no link between different components is lost.
+   linked to a hub first; the pairs are filtered by size, place and a parity bitmap of each set (its differences from another's bound
+   their overlap, so nothing that links is lost) and verified on the whole sets; then connected components of the
+   verified links are taken. What is left, groups of one list still in different components, is enumerated, filtered and
+   verified likewise, so no link between different components is lost.
 4. Groups expand to their members: every node of a group is compared with the group's first node likewise.
 
 Pairs whose ends are in one component already are not compared: the class ids are exact, and no list is ever squared
@@ -33,7 +34,8 @@ NUM, DEN = 80, 100
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 BLOOM_BITS = 26
-HUB_ROUNDS = 2
+BROADCAST_TOKENS = 1_000_000
+LEAST_BITS, MOST_BITS = 6, 20
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +71,26 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return common.mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ common.mix64(np.diff(bounds).astype(U64)))
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of its shingles in each of about 2n cells; cells halve by folding."""
+    n = np.diff(bounds)
+    log = np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    first = np.concatenate(([0], np.cumsum(1 << log)))
+    cell = ((sets & U64((1 << MOST_BITS) - 1)).astype(np.int64) & np.repeat((1 << log) - 1, n)) + np.repeat(first[:-1], n)
+    packed = np.packbits((np.bincount(cell, minlength=first[-1]) & 1).astype(np.uint8))
+    return [packed[a >> 3 : b >> 3].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def difference(x: bytes, y: bytes) -> int:
+    """At most the count of shingles that are in one of the sets alone."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
     """How many texts have a shingle of each of 2**SKETCH_BITS hash cells; 4 MB whatever the input."""
     blocks = (1 << SKETCH_BITS) // SKETCH_BLOCK
@@ -97,7 +119,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def documents_table(docs: DataFrame, counts) -> DataFrame:
-    """(doc_id, text_hash, n, node, grp, prefix): grp is the hash of prefix and size."""
+    """(doc_id, text_hash, n, node, grp, bits, prefix): grp is the hash of prefix and size."""
 
     def run(batches):
         df = counts.value
@@ -121,12 +143,13 @@ def documents_table(docs: DataFrame, counts) -> DataFrame:
                         "n": n,
                         "node": node.view(np.int64),
                         "grp": grp.view(np.int64),
+                        "bits": bitmaps(sets, at),
                         "prefix": [pre[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)],
                     }
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, node long, grp long, prefix array<long>")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, node long, grp long, bits binary, prefix array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,59 +217,68 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(link("x", "y")).select("a", "b")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the node pairs (a, b) those whose bitmaps don't rule a link out."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        # 2 * overlap <= n + m - difference, and a link needs (DEN + NUM) * overlap >= NUM * (n + m)
+        return pd.Series([(DEN + NUM) * (p + q - difference(a, b)) >= 2 * NUM * (p + q) for a, b, p, q in zip(x, y, n, m, strict=True)], dtype=bool)
+
+    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("p"))
+    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("q"))
+    return pairs.join(left, "a").join(right, "b").where(near("x", "y", "p", "q")).select("a", "b")
+
+
+def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the node pairs those that link: filtered by bitmap, then verified on the whole sets of what is left."""
+    left = common.materialise(possible(pairs, nodes))
+    if left.isEmpty():
+        return left
+    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    wanted = common.materialise(nodes.select("node", "text_hash").join(ends, "node"))
+    sets = node_sets(docs, wanted)
+    out = common.materialise(verified(left, sets))
+    common.discard(sets, left, wanted)
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, root, component_id) of each document; root names the class, null without shingles."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(sketch(docs))
-    table = documents_table(docs, counts)
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     # one row of each set, its texts and least id; the prefix of each group once
-    rows = common.materialise(table)
+    full = common.materialise(documents_table(docs, counts))
+    rows = full.select("doc_id", "text_hash", "n", "node", "grp")
+    some = full.where("n > 0")
     nodes = common.materialise(
-        rows.where("n > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"))
+        some.groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), F.first("bits").alias("bits"))
     )
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
-    prefixes = rows.where("n > 0").groupBy("grp").agg(F.first("prefix").alias("prefix"))
-    postings = prefixes.join(groups, "grp").select("grp", "rep", "n", F.posexplode("prefix").alias("p", "token"))
-    # lists of one group go before anything else is done with them
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    lists = postings.join(shared, "token")
-    # a set that near copies were made from has no shingle of its own, so it is in the most lists: the first hub to try
+    prefixes = common.materialise(some.groupBy("grp").agg(F.first("prefix").alias("prefix")))
+    # shingles of one group's prefix alone go before anything else is done with them
+    shared = common.materialise(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    few = shared.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    lists = prefixes.select("grp", F.posexplode("prefix").alias("p", "token")).join(F.broadcast(shared) if few else shared, "token").join(groups.select("grp", "rep", "n"), "grp")
+    # a set that near copies were made from has no shingle of its own, so it is in the most lists: the hub to try
     lists = common.materialise(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("rep"))))
+    common.discard(prefixes, shared)
     inside = nodes.join(groups.where("m > 1").select("grp", "rep"), "grp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    near = lists.select(F.col("rep").alias("node")).distinct().join(nodes.select("node", "grp"), "node").select("grp").distinct()
-    wanted = nodes.join(near.unionByName(groups.where("m > 1").select("grp")).distinct(), "grp", "left_semi").select("node", "text_hash")
-    sets = node_sets(docs, common.materialise(wanted))
-    links = common.materialise(verified(inside, sets))
-    tried = None
-    label = None
-    for turn in range(HUB_ROUNDS):
-        marked = lists if label is None else lists.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        marked = marked.withColumn("root", F.col("rep") if label is None else F.coalesce("root", "rep"))
-        pick = F.struct(-F.col("lists"), "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)))
-        hubs = marked.groupBy("token").agg(F.min_by(F.struct("rep", "n", "p", "root"), pick).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "h")
-        pairs = marked.join(hubs, "token").where((F.col("rep") != F.col("h.rep")) & (F.col("root") != F.col("h.root")) & fits("n", "p", "h.n", "h.p"))
-        pairs = pairs.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.materialise(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else common.materialise(tried.unionByName(pairs))
-        links = common.materialise(links.unionByName(verified(pairs, sets)))
-        label = components(links)
+    hubs = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "p"), F.struct(-F.col("lists"), "rep")).alias("h"))
+    spokes = lists.join(hubs, "token").where((F.col("rep") != F.col("h.rep")) & fits("n", "p", "h.n", "h.p"))
+    spokes = spokes.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
+    tried = common.materialise(inside.unionByName(spokes).distinct())
+    links = linked(docs, tried, nodes)
+    label = components(links)
     # the rest: nodes of one list in different components, all of them
-    if label is None:
-        label = components(links)
-    marked = lists.select("token", "grp", "n", "p").join(nodes.select("grp", "node"), "grp").join(label, "node", "left").select("token", "n", "p", "node", F.coalesce("root", "node").alias("root"))
+    own = groups.where("m > 1").select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("p"))  # each group's nodes among themselves
+    marked = lists.select("token", "grp", "n", "p").unionByName(own).join(nodes.select("grp", "node"), "grp").join(label, "node", "left").select("token", "n", "p", "node", F.coalesce("root", "node").alias("root"))
     open_ = marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     marked = common.materialise(marked.join(open_, "token"))
     other = marked.select("token", F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("node").alias("b"), F.col("root").alias("root2"))
     rest = marked.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root2")) & fits("n", "p", "n2", "p2")).select(F.col("node").alias("a"), "b").distinct()
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    rest = common.materialise(rest)
+    rest = common.materialise(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        label = components(links.unionByName(verified(rest, sets)))
+        label = components(links.unionByName(linked(docs, rest, nodes)))
     named = nodes.join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(names, "root").select("node", "root", "component_id")
@@ -272,10 +304,10 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
 
     Documents without shingles link with nothing and stay.
     """
-    found = classes(docs)
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text_hash")
-    keep = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("_key"), F.lit(True).alias("_one"))
-    alone = found.where("n = 0").select(key.alias("_key"), F.lit(False).alias("_one")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    kept = rows.join(keep.unionByName(alone), "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_one")))
-    return kept.where("_at = 1 OR NOT _one").select(*docs.columns)
+    found = classes(docs.select("doc_id", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash"))
+    keep = found.where("n > 0").groupBy("root").agg(least.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("key"), F.lit(True).alias("one"))
+    alone = found.where("n = 0").select(F.xxhash64("doc_id", "text_hash").alias("key"), F.lit(False).alias("one")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+    kept = rows.join(keep.unionByName(alone), "key").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("one")))
+    return kept.where("at = 1 OR NOT one").select("doc.*")
