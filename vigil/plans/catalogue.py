@@ -11,6 +11,7 @@ from ..functions import dates, money, urls
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import clustering, dedup, graph, prefilter, publish, scoring, state, verification
+from ..sources import feeds
 from ..sources.tables import AS_OF, plain, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,6 +655,71 @@ def _(spark, sf):
     return publish.api_documents(tiered(spark, sf).select("id", "company", "authority", "date", "penalty_amount_inr", "trust_tier"))
 
 
+# --- further projections ---
+@query("outcome_badges", f"SELECT id, {routed('lower(outcome)', L.BADGES, 'badge-other')} AS badge FROM cases")
+def _(spark, sf):
+    return view(spark, sf, "cases").select("id", T.badge("outcome").alias("badge"))
+
+
+@query(
+    "document_registry",
+    "SELECT md5(url) AS id, url, left(arg_min(title, arrival_idx), 500) AS title, contains(url, 'site1.co.in') AS is_primary FROM items WHERE url <> '' GROUP BY url",
+)
+def _(spark, sf):
+    return feeds.documents_registry(view(spark, sf, "items"), PRIMARY[:1])
+
+
+@query("items_first_by_url", "SELECT url, min(arrival_idx) AS arrival_idx, arg_min(title, arrival_idx) AS title FROM items GROUP BY url")
+def _(spark, sf):
+    i = view(spark, sf, "items").select("url", "arrival_idx", "title")
+    return prefilter.first_per(i, "url", ["arrival_idx"])
+
+
+_FORMS = ["%Y-%m-%d", "%-d %B %Y", "%-d %b %Y", "%B %-d, %Y", "%b %-d, %Y", "%d/%m/%Y", "%d-%m-%Y"]
+
+
+@query("date_variants", "SELECT id, lower(concat_ws('; ', " + ", ".join(f"strftime(CAST(date AS DATE), '{f}')" for f in _FORMS) + ")) AS variants FROM cases")
+def _(spark, sf):
+    return view(spark, sf, "cases").select("id", F.array_join(dates.variants("date"), "; ").alias("variants"))
+
+
+@query("license_excerpts", f"SELECT doc_id, CASE WHEN instr(lower(text), 'license') > 0 THEN {sq("substr(text, greatest(1, instr(lower(text), 'license') - 260), 520)")} ELSE '' END AS excerpt FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.excerpt("text", F.lit("license")).alias("excerpt"))
+
+
+@query("review_queue", "SELECT id, company, date FROM cases WHERE needs_review ORDER BY date DESC, id LIMIT 50")
+def _(spark, sf):
+    return view(spark, sf, "cases").where("needs_review").orderBy(F.desc("date"), "id").limit(50).select("id", "company", "date")
+
+
+@query(
+    "evidence_attached",
+    "SELECT id, coalesce(e.url, '') AS evidence_url, coalesce(e.strength, 'none') AS strength FROM cases LEFT JOIN (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY action_id ORDER BY CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END DESC, arrival, url) = 1) e ON e.action_id = id",
+)
+def _(spark, sf):
+    best = verification.best_evidence(view(spark, sf, "evidence"))
+    c = view(spark, sf, "cases").select("id").join(best, F.col("id") == F.col("action_id"), "left")
+    return c.select("id", F.coalesce("url", F.lit("")).alias("evidence_url"), F.coalesce("strength", F.lit("none")).alias("strength"))
+
+
+@query("sitemap_lines", f"SELECT concat('<url><loc>https://base.example/cases/', {SLUG}, '</loc><lastmod>', date, '</lastmod></url>') AS value FROM cases")
+def _(spark, sf):
+    return feeds.sitemap(view(spark, sf, "cases").withColumn("slug", T.case_slug("company", "authority", "date")), "https://base.example")
+
+
+@query("tracked_mentions", f"SELECT arrival_idx FROM items WHERE {anyof('lower(concat_ws(chr(32), title, summary))', TRACKED)}")
+def _(spark, sf):
+    return view(spark, sf, "items").where(T.any_of(F.lower(F.concat_ws(" ", "title", "summary")), TRACKED)).select("arrival_idx")
+
+
+@query(
+    "page_links",
+)
+def _(spark, sf):
+    return feeds.page_links(table(spark, sf, "pages").select("url", "html"), least=3)
+
+
 from ..streaming import stories as streams  # noqa: E402
 
 
