@@ -46,6 +46,16 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than the session's setting: rows are whole texts, and batches stand in workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,7 +88,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, li
     return [r.text for r in found if not r.y], [r.text for r in found if r.y]
 
 
-def slices(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` characters; a longer text stands alone."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -107,7 +117,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 21)
         base = 0x5851F42D4C957F2D
         rows = [np.full(size, b, U64) for b in (base, pow(base, -1, 1 << 64))]
         for x in rows:
@@ -165,6 +175,7 @@ def score_texts(docs: DataFrame, score, folds: int, threshold: float) -> DataFra
     """(doc_id, held_out, score, predicted); score: list of texts -> array of probabilities."""
     import pandas as pd
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

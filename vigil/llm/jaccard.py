@@ -245,6 +245,7 @@ def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, root, component_id) of each document; root names the class, null without shingles."""
+    common.small_batches(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     # one row of each set, its texts and least id; the prefix of each group once
     full = common.materialise(documents_table(docs, counts))

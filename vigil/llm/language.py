@@ -140,6 +140,7 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score to the documents."""
+    common.small_batches(docs.sparkSession)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
 
     def run(batches):
@@ -160,6 +161,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Keeps the documents whose language is recognised; every column and every kept row as it was."""
+    common.small_batches(docs.sparkSession)
     usable = common.fold("doc_id", 3) != 1
     model = fit(docs.select("doc_id", "text", "lang"), usable)
 

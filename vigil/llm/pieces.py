@@ -202,6 +202,7 @@ def gather(pool: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.n
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Adds n_tokens, ids and round_trip (whether the ids decode to the text)."""
+    common.small_batches(docs.sparkSession)
     encoder = Encoder.load(model or default_model())
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
     names = {f.name for f in added}

@@ -336,6 +336,7 @@ def detector(seed: int = 11) -> Detector:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): lists of kind:start:end."""
+    common.small_batches(docs.sparkSession)
     model = detector()
 
     def run(batches):

@@ -99,6 +99,7 @@ def ranges(docs: DataFrame, parts: int) -> tuple[list[int], int | None, bool]:
 def in_order(docs: DataFrame) -> DataFrame:
     """(range, tail, doc_id, text), each partition's ranges in order; tail rows are the first of the next range."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     parts = common.parallelism(spark)
     starts, least, nulls = ranges(docs, parts)
     bounds, last = np.array(starts, np.int64), len(starts)
