@@ -21,13 +21,14 @@ other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 LEAST_WORDS = 4
 NEAR_WORDS = 8
+BITMAP_BITS = 27
 _BLANK = "[ \t\x0b\x0c\r]+"
 
 
@@ -47,9 +48,22 @@ def _half_keys(w: str) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, w) of each line that is judged."""
+    """(doc_id, text_hash, line_no, line) of each line long enough to be judged."""
     lines = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "text_hash", "line_no", line_words("line").alias("w")).where(F.size("w") >= LEAST_WORDS)
+    return lines.where(F.length("line") >= 2 * LEAST_WORDS - 1)
+
+
+def _cell() -> Column:
+    return F.pmod(F.xxhash64("text_hash", "line_no"), F.lit(1 << BITMAP_BITS))
+
+
+def only_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose place may be wanted: by bitmaps over hashed places, BITMAP_BITS bits in all whatever the input."""
+    place = F.shiftright(_cell(), 15).cast("int").alias("bucket"), F.pmod(_cell(), F.lit(1 << 15)).alias("bit")
+    bitmaps = wanted.select(*place).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))), F.lit(2)) == 1
+    return lines.select("*", *place).join(F.broadcast(bitmaps), "bucket").where(is_set).drop("bucket", "bit", "bits")
 
 
 def one_edit(x: Column, y: Column) -> Column:
@@ -64,8 +78,10 @@ def one_edit(x: Column, y: Column) -> Column:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the ascending places of each document's dropped lines."""
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
-    rows = exploded(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("w").alias("h"), _half_keys("w").alias("keys"))
-    rows = common.materialise(rows)
+    rows = exploded(docs).select("doc_id", "text_hash", "line_no", line_words("line").alias("w"))
+    rows = rows.select("doc_id", "text_hash", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("h"), _half_keys("w").alias("keys"))
+    # filtered when read again: before, the filter would split every line once more
+    rows = common.materialise(rows).where(F.col("n") >= LEAST_WORDS)
     # equal rows of documents count once
     groups = common.materialise(
         rows.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("keys", order).alias("keys")).withColumn("again", F.col("first") != F.col("last"))
@@ -74,13 +90,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     near = common.materialise(halves.join(shared, "key").select("h").distinct().join(groups.select("h", "first"), "h"))
 
-    words = exploded(docs).withColumn("h", F.xxhash64("w")).withColumn("at", order)
+    places = near.select(F.col("first.t").alias("text_hash"), F.col("first.l").alias("line_no"))
+    words = only_of(exploded(docs), places).select(order.alias("at"), line_words("line").alias("w")).withColumn("h", F.xxhash64("w"))
     lines = words.join(near.select("h", F.col("first").alias("at")), ["h", "at"]).groupBy("h").agg(F.first("at").alias("at"), F.first("w").alias("w"))
     lines = common.materialise(lines)
-    n = F.size("w")
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.slice("w", 1, i - 1), F.slice("w", i + 1, n))).alias("key")))
-    whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("w").alias("key")))
-    variants = lines.select("h", "at", F.explode(F.concat(whole, deleted)).alias("v")).select("h", "at", "v.place", "v.key")
+    # a hash of words by place, joined by exclusive or: without the word at a place, those after it count one place less
+    each = lines.select("h", "at", F.posexplode("w").alias("p", "word")).withColumns({"here": F.xxhash64("word", "p"), "moved": F.xxhash64("word", F.col("p") - 1)})
+    line = Window.partitionBy("h")
+    upto = line.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("h", "at", "p", "here", F.expr("bit_xor(here)").over(upto).alias("front"), F.expr("bit_xor(moved)").over(upto).alias("gone"), F.expr("bit_xor(moved)").over(line).alias("all"), F.expr("bit_xor(here)").over(line).alias("whole"))
+    key = F.col("front").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("gone"))
+    entry = lambda place, k: F.struct(place.alias("place"), k.alias("key"))
+    own = F.array(entry(F.col("p") + 1, key))
+    both = F.when(F.col("p") == 0, F.array(entry(F.col("p") + 1, key), entry(F.lit(0), F.col("whole")))).otherwise(own)
+    variants = common.materialise(each.select("h", "at", F.explode(both).alias("v")).select("h", "at", "v.place", "v.key"))
     twins = variants.groupBy("key", "place").agg(F.min("at").alias("same"))
     keys = twins.groupBy("key").agg(F.min("same").alias("any"), F.min(F.when(F.col("place") == 0, F.col("same"))).alias("whole"))
     earliest = twins.join(keys, "key").select("key", "place", F.when(F.col("place") == 0, F.col("any")).otherwise(F.least("same", "whole")).alias("before"))
@@ -98,8 +121,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
     gone = common.materialise(dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone"))
     rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
-    text = F.col("doc.text")
-    lines = F.split(text, "\n")
+    text, lines = F.col("doc.text"), F.col("lines")
+    rows = rows.withColumn("lines", F.split(text, "\n"))  # once, not for each piece
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda i: i + 1))
     ends = F.concat("gone", F.array(F.size(lines)))
     kept = F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s))), "\n")
