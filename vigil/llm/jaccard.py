@@ -34,7 +34,6 @@ NUM, DEN = 80, 100
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 BLOOM_BITS = 26
-BROADCAST_TOKENS = 1_000_000
 LEAST_BITS, MOST_BITS = 6, 20
 
 
@@ -258,8 +257,8 @@ def classes(docs: DataFrame) -> DataFrame:
     prefixes = common.materialise(some.groupBy("grp").agg(F.first("prefix").alias("prefix")))
     # shingles of one group's prefix alone go before anything else is done with them
     shared = common.materialise(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
-    few = shared.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
-    lists = prefixes.select("grp", F.posexplode("prefix").alias("p", "token")).join(F.broadcast(shared) if few else shared, "token").join(groups.select("grp", "rep", "n"), "grp")
+    postings = common.maybe_in(prefixes.select("grp", F.posexplode("prefix").alias("p", "token")), shared, "token")
+    lists = postings.join(shared, "token").join(groups.select("grp", "rep", "n"), "grp")
     # a set that near copies were made from has no shingle of its own, so it is in the most lists: the hub to try
     lists = common.materialise(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("rep"))))
     common.discard(prefixes, shared)
