@@ -334,6 +334,12 @@ def test_line_dedup(spark):
     assert lines.line_dedup_stage(df).columns == df.columns
 
 
+def test_short_lines_are_judged(spark):
+    docs = [(1, "Home\nall  rights reserved.\n\nsee the old river"), (2, "home\nAll rights reserved.\n\nsee the new river"), (3, "see the river\nof the\nof that\n "), (4, "of the\nread the old river log\nsee the old river")]
+    got = {x.doc_id: (x.text, x._n_dropped) for x in lines.dedup_lines(frame(spark, docs)).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("", 3), 3: (docs[2][1], 0), 4: ("read the old river log", 2)}
+
+
 # --- sharding ---
 def test_least_capacity_equals_brute_force():
     from itertools import combinations_with_replacement as combinations

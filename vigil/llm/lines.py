@@ -1,7 +1,7 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
-A line is its words: runs of other than blanks, in lower case. Lines of equal words are repeats; lines of NEAR_WORDS or more that one inserted, deleted or replaced
-word tells apart (word edit distance 1) are near copies. Of repeats and near copies the earliest line stays, in order of doc_id, then place.
+A line is its words: runs of other than blanks, in lower case. Lines of equal words are repeats, whatever their length; lines of NEAR_WORDS or more that one inserted,
+deleted or replaced word tells apart (word edit distance 1) are near copies. Of repeats and near copies the earliest line stays, in order of doc_id, then place.
 
 1. Equal lines are grouped by hash; each group's earliest occurrence stands for it.
 2. Lines of one edit agree in the words before the middle or in those after it. Lines that share neither half with another line can have no near
@@ -11,8 +11,8 @@ word tells apart (word edit distance 1) are near copies. Of repeats and near cop
    within a key are made.
 4. Each line's earliest candidate is verified on the words, and the line goes if the distance holds.
 
-A line is dropped when an earlier line is near it, whether that one itself is kept or not. Lines of fewer than LEAST_WORDS words
-(blank ones too) are never judged.
+A line is dropped when an earlier line is near it, whether that one itself is kept or not. Every line that has a word is judged. In lines
+below NEAR_WORDS one edit is no sign of a copy: see the README for the share of lines with such a neighbour by length.
 
 Defined results: a null text stays null and has no lines; a text of no line breaks is one line; rows of one doc_id are in order of
 their text hash, null ids come first; equal rows (same id and text) count as one and lose the same lines; no rows give no rows;
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST_WORDS = 4
-NEAR_WORDS = 8
+LEAST_WORDS = 1
+NEAR_WORDS = 4
 BITMAP_BITS = 27
 _BLANK = "[ \t\x0b\x0c\r]+"
 
@@ -48,7 +48,7 @@ def _half_keys(w: str) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of each line long enough to be judged."""
+    """(doc_id, text_hash, line_no, line) of each line that may have enough words to be judged."""
     lines = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where(F.length("line") >= 2 * LEAST_WORDS - 1)
 
