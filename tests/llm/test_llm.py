@@ -417,6 +417,11 @@ def test_pii_method_adds_spans(spark):
     assert "b7db" not in pii.redact(texts[0]) and pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_needs_no_digit_elsewhere():
+    for t in ("mail jane at acme(dot)org now", "mail jane at acme[dot]org now", "mail jane [at] acme [.] org now", "mail jane at acme(.)org now"):
+        assert pii.detector().spans(t)[1] == pii.detector().spans(f"{t} 7")[1] != []
+
+
 # --- the pipeline ---
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

@@ -30,8 +30,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-# one of these, or a digit, is in every text with a span
-_SIGNS = ("@", "=", " dot ", " DOT ", "(at)", "[at]", "(AT)", "[AT]", "AKIA", "ASIA", "password", "Password", "passphrase", "token", "secret", "key:", "KEY", "TOKEN", "SECRET", "PASS", "pwd", "passwd")
 
 Span = tuple[int, int, str]
 
@@ -77,7 +75,7 @@ _AT, _DOT = r"(?: ?[\[(](?:at|AT|@)[\])] ?| at | AT )", r"(?: ?[\[(](?:dot|DOT|\
 # High-recall generators: (kind, a sign of which one must be present, pattern). Where there is a group, it is the span.
 GENERATORS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?@ ?[\w-]{1,63}(?:\.[\w-]{1,63}){1,4}")),
-    ("email", "dot DOT", re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{2,63}}){{1,4}}")),
+    ("email", "dot DOT [.] (.) [.) (.]", re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{2,63}}){{1,4}}")),
     ("email", "at) at] AT) AT]", re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?[\[(](?:at|AT)[\])] ?[\w-]{1,63}(?:\.[\w-]{2,63}){1,4}")),
     ("ip", ":", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", "", re.compile(r"(?<![0-9])[0-9](?:[\x20./ -]{0,2}[0-9]){12,18}(?![0-9])")),
@@ -277,7 +275,7 @@ class Detector:
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """Base spans and all spans, each in order of start, then kind."""
-        if not text or not (any(x in text for x in _SIGNS) or _DIGIT.search(text)):
+        if not text:
             return [], []
         base = base_spans(text)
         taken = sorted((s, e) for s, e, _ in base)
