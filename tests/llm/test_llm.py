@@ -422,6 +422,17 @@ def test_pii_needs_no_digit_elsewhere():
         assert pii.detector().spans(t)[1] == pii.detector().spans(f"{t} 7")[1] != []
 
 
+def test_long_secrets_are_covered_whole():
+    r = random.Random(6)
+    body = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(900))
+    for before, secret in (("password=", body), ("token: ", f"{body[:300]}.{body[300:600]}.{body[600:]}"), ("see ", body), ("see ", "x" * 300 + body), ("see ", "sk-" + body)):
+        t = f"{before}{secret} end"
+        assert (len(before), len(before) + len(secret), "secret") in pii.candidates(t)
+        left = pii.redact(t)
+        assert not any(secret[k : k + 20] in left for k in range(len(secret) - 20))
+    assert len(pii.candidates("token=" * 100_000)) < 10 and pii.candidates("a" * 1_000_000 + " 1") == []
+
+
 # --- the pipeline ---
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

@@ -85,9 +85,9 @@ GENERATORS = [
     ("phone", "00", re.compile(r"(?<![0-9])00[1-9][0-9 ()./-]{8,16}[0-9](?![0-9])")),
     ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("secret", "= :", re.compile(r"(?i)(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|\bkey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,256})")),
-    ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,255}[0-9])[A-Za-z0-9+/_-]{16,256}={0,2}(?![A-Za-z0-9+/_=-])")),
-    ("secret", "AKIA ASIA ghp_ sk- xox", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,64}")),
+    ("secret", "= :", re.compile(r"(?i)(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|\bkey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,}+)")),
+    ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("secret", "AKIA ASIA ghp_ sk- xox", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}+")),
 ]
 _WORDS = ("password", "token", "secret", "key", "phone", "tel", "call", "card", "ssn", "iban", "mail", "version", "commit", "isbn", "order", "id")
 
