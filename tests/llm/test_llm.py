@@ -178,6 +178,15 @@ def test_language(spark):
     assert language.language_stage(docs).columns == docs.columns
 
 
+def test_languages_of_high_code_points():
+    r = random.Random(4)
+    first = {"zh": 0x4E00, "ja": 0x3042, "ko": 0xAC00}
+    rows = [(k, " ".join("".join(chr(first[k] + r.randrange(40)) for _ in range(4)) for _ in range(20))) for _ in range(80) for k in first]
+    model = language.train(rows[:180])
+    assert all(model.predict(t)[0] == k for k, t in rows[180:])
+    assert [list(x) for x in language.grams("a\U0001f600\u3002b")] == [list(x) for x in language.grams("a  b")]
+
+
 # --- decontamination ---
 def brute_contamination(docs, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))

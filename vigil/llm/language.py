@@ -24,14 +24,14 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 _SHIFT = np.uint32(32 - 14)
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
-# letters as they are, everything else a space; signs beyond the table share one code
-_FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(0x3000)] + [0x3000], np.uint32)
+# letters as they are, everything else a space
+_FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.uint32)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of a text in lower case, with other signs as spaces, and their counts."""
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _FOLD[np.minimum(code, len(_FOLD) - 1)]
+    code = _FOLD[code]
     h, found = code * _ODD[1], []
     for n in range(min(ORDERS, len(code))):
         if n:
