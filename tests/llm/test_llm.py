@@ -224,6 +224,14 @@ def test_decontamination(spark):
     assert decontamination.contamination(frame(spark, []), made).count() == 0
 
 
+def test_decontamination_of_capital_sigma(spark):
+    words = [f"ΟΔΟΣ{k} ΟΔΟΣ" for k in range(10)]
+    items = [(1, " ".join(words)), (2, "ΛΟΓΟΣ ΑΒ")]
+    docs = [(1, ".".join(words).replace(" ", ".") + " end"), (2, "ΛΟΓΟΣ.ΑΒ")]
+    got = decontamination.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {x.doc_id: x.n_hit for x in got.collect()} == {1: 20, 2: 2}
+
+
 # --- Jaccard join ---
 def brute_classes(docs):
     sets = []

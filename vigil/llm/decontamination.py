@@ -5,8 +5,8 @@ items and the least of every KEEP consecutive ones is kept, KGRAM + KEEP - 1 = S
 that share one with the benchmark (or hold a short item's hash) are read again and their windows compared; the
 words that occurring windows cover are counted as a union of spans.
 
-Folding of letters for the fingerprints also folds letters beyond A-Z, which only can add documents to read again; windows are compared with
-A-Z folded alone.
+Letters are folded from A to Z alone, for the fingerprints as for the windows: lower case beyond them may depend on what follows (capital sigma),
+and then equal words would differ.
 
 Defined results: null has no words; documents and items without words hit nothing; equal rows have equal results, rows of one id
 with different texts their own; a null item_id counts as the id `null`; no documents give no rows, no items no hits; other columns
@@ -63,21 +63,19 @@ def _marked(hashes: Column, n: int) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, items) of each document; items: sorted ids, null if none."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").select(
-        "item", words(fold_ascii("text")).alias("w"), words(F.lower("text")).alias("f")
-    )
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").select("item", words(fold_ascii("text")).alias("w"))
     items = items.where(F.size("w") > 0)
     span = F.least(F.size("w"), F.lit(SPAN))
     windows = common.materialise(items.select("item", span.alias("len"), F.explode(F.array_distinct(grams("w", span))).alias("g")).distinct())
     short = sorted(r[0] for r in windows.where(F.col("len") < SPAN).select("len").distinct().collect())
-    marks = winnowed(items.where(F.size("w") >= SPAN), "f", "g").select(F.lit(0).alias("len"), F.explode("g").alias("g"))
-    brief = items.where(F.size("w") < SPAN).select(F.size("w").alias("len"), F.xxhash64("f").alias("g"))
+    marks = winnowed(items.where(F.size("w") >= SPAN), "w", "g").select(F.lit(0).alias("len"), F.explode("g").alias("g"))
+    brief = items.where(F.size("w") < SPAN).select(F.size("w").alias("len"), F.xxhash64("w").alias("g"))
     marks = sized(common.materialise(marks.unionByName(brief).distinct()))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.lower("text")).alias("f"))
-    rows = winnowed(rows, "f", "kept")
-    found = [_marked(F.col("kept"), 0), *[_marked(F.array_distinct(grams("f", n)), n) for n in short]]
-    rows = common.materialise(rows.select("doc_id", "text_hash", F.size("f").cast("long").alias("n_words"), (F.concat(*found) if short else found[0]).alias("marks")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(fold_ascii("text")).alias("w"))
+    rows = winnowed(rows, "w", "kept")
+    found = [_marked(F.col("kept"), 0), *[_marked(F.array_distinct(grams("w", n)), n) for n in short]]
+    rows = common.materialise(rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if short else found[0]).alias("marks")))
     again = rows.select("text_hash", F.explode("marks").alias("m")).select("text_hash", "m.*").join(marks, ["len", "g"], "left_semi").select("text_hash").distinct()
     again = common.materialise(again)
 
