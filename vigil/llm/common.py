@@ -39,7 +39,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Removes tables of materialise() that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_vigil_path", None)
+        path = getattr(df, "_vigil_path", None) if df is not None else None
         if path:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +62,24 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.select("*", *place).join(F.broadcast(bitmaps), "_bucket").where(is_set).drop("_bucket", "_bit", "_bits")
 
 
+HOT_ROWS, HOT_KEYS = 1000, 1000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Joins rows, of which one key may hold very many, with a table of one row a key (and k, the key's count of rows, if it is known).
+
+    The HOT_KEYS keys of the most rows, if of more than hot_rows, are joined by broadcast of those keys alone, so no task gets all of one key.
+    """
+    counts = unique if "k" in unique.columns else rows.groupBy(key).agg(F.count(F.lit(1)).alias("k"))
+    hot = materialise(counts.where(F.col("k") > hot_rows).orderBy(F.desc("k"), key).limit(HOT_KEYS).select(key))
+    unique = unique.drop("k")
+    if hot.isEmpty():
+        return rows.join(unique, key, how)
+    few = F.broadcast(unique.join(F.broadcast(hot), key, "left_semi"))  # at most HOT_KEYS rows
+    found = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return found.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(unique, key, how))
+
+
 BATCH_ROWS = 1000
 
 
@@ -104,7 +122,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, li
     return [r.text for r in found if not r.y], [r.text for r in found if r.y]
 
 
-def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` characters; a longer text stands alone."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -133,7 +151,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         base = 0x5851F42D4C957F2D
         rows = [np.full(size, b, U64) for b in (base, pow(base, -1, 1 << 64))]
         for x in rows:

@@ -1,14 +1,17 @@
 """N-gram Jaccard join: a grouped prefix join on sets of word shingles.
 
-1. Each text becomes its set of hashed shingles. Sets are ordered by a fixed-size sketch of the shingles' corpus counts (rare first), so that
-   what many texts share stays out of the prefixes; any order is exact, the sketch only keeps posting lists short.
-2. Documents with the same prefix and size form one group; equal sets in it form one node (its id: the hash of the set).
-3. Groups meet over the prefix's shingles. Posting lists of one group go at once. In the others the groups are
+1. Each text becomes its set of hashed shingles. Of the shingles in SHARE of the hash space it is counted exactly which ones no other set
+   has. A set of n shingles that links with another has at most n - ceil(t * n) that the other lacks, so a set with more
+   shingles of its own than that links with nothing and goes no further; no link is lost.
+2. The sets that are left are ordered by a fixed-size sketch of the shingles' counts among them (rare first), so that what many texts share stays
+   out of the prefixes; any order is exact, the sketch only keeps posting lists short.
+3. Documents with the same prefix and size form one group; equal sets in it form one node (its id: the hash of the set).
+4. Groups meet over the prefix's shingles. Posting lists of one group go at once. In the others the groups are
    linked to a hub first; the pairs are filtered by size, place and a parity bitmap of each set (its differences from another's bound
    their overlap, so nothing that links is lost) and verified on the whole sets; then connected components of the
-   verified links are taken. What is left, groups of one list still in different components, is enumerated, filtered and
-   verified likewise, so no link between different components is lost.
-4. Groups expand to their members: every node of a group is compared with the group's first node likewise.
+   verified links are taken. What is left, groups of one list still in different components, is enumerated within classes of size that
+   may link, filtered and verified likewise, so no link between different components is lost.
+5. Groups expand to their members: every node of a group is compared with the group's first node likewise.
 
 Pairs whose ends are in one component already are not compared: the class ids are exact, and no list is ever squared
 while it is one cluster.
@@ -31,9 +34,9 @@ from .components import components
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-SKETCH_BITS = 20
-SKETCH_BLOCK = 1 << 14
-BLOOM_BITS = 26
+SHARE = 1 / 3
+SKETCH_BITS = 22
+SKETCH_BLOCK = 1 << 16
 LEAST_BITS, MOST_BITS = 6, 20
 
 
@@ -91,34 +94,82 @@ def difference(x: bytes, y: bytes) -> int:
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """How many texts have a shingle of each of 2**SKETCH_BITS hash cells; 4 MB whatever the input."""
-    blocks = (1 << SKETCH_BITS) // SKETCH_BLOCK
+    """How many texts have a shingle of each of 2**SKETCH_BITS hash cells, 255 at most; 4 MB whatever the input."""
+    cells = 1 << SKETCH_BITS
+    blocks = cells // SKETCH_BLOCK
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(cells, np.uint32)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             for a, b in common.slices(texts):
-                total += np.bincount((shingle_sets(texts[a:b])[0] >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                at, n = np.unique((shingle_sets(texts[a:b])[0] >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[at] += n.astype(np.uint32)
         if total.any():
-            yield pd.DataFrame({"block": range(blocks), "counts": [x.astype("<u4").tobytes() for x in np.minimum(total, 2**32 - 1).reshape(blocks, -1)]})
+            yield pd.DataFrame({"block": range(blocks), "counts": [x.astype(np.uint8).tobytes() for x in np.minimum(total, 255).reshape(blocks, -1)]})
 
     def add(pdf):
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for x in pdf["counts"]:
+            total += np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
     schema = "block int, counts binary"
     # one row a task and block, each a fixed 64 KB, added up in two steps
     parts = docs.select("text").mapInPandas(count, schema).withColumn("lane", F.pmod(F.monotonically_increasing_id() / (1 << 33), F.lit(16)).cast("int"))
     some = parts.groupBy("block", "lane").applyInPandas(lambda pdf: add(pdf[["block", "counts"]]), schema)
-    out = np.zeros((blocks, SKETCH_BLOCK), np.uint32)
+    out = np.zeros((blocks, SKETCH_BLOCK), np.uint8)
     for r in some.groupBy("block").applyInPandas(add, schema).collect():
-        out[r["block"]] = np.frombuffer(r["counts"], "<u4")
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     return out.ravel()
 
 
-def documents_table(docs: DataFrame, counts) -> DataFrame:
-    """(doc_id, text_hash, n, node, grp, bits, prefix): grp is the hash of prefix and size."""
+def set_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, node, some): the set's size and id, and its shingles in SHARE of the hash space."""
+    limit = U64(int(SHARE * 2**64))
+
+    def run(batches):
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in common.slices(texts):
+                sets, at = shingle_sets(texts[a:b])
+                n = np.diff(at)
+                # each set is ascending: what is below the limit comes first
+                low = np.concatenate(([0], np.cumsum(sets < limit)))
+                cut = low[at[1:]] - low[at[:-1]]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
+                        "text_hash": pdf["text_hash"].iloc[a:b].to_numpy(),
+                        "n": n,
+                        "node": set_ids(sets, at).view(np.int64),
+                        "some": [sets[x : x + k].view(np.int64) for x, k in zip(at[:-1], cut, strict=True)],
+                    }
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, node long, some array<long>")
+
+
+def may_link(full: DataFrame) -> DataFrame:
+    """(node, n, text_hash, least) of the sets that may link with another one: those without too many shingles of their own."""
+    tokens = full.where("n > 0").select(F.explode("some").alias("token"), "node")
+    # counted by sets, not by documents: copies of a set don't hide that a shingle is its own
+    own = tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sets = full.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"))
+    spare = F.col("n") - F.floor((F.lit(NUM) * F.col("n") + (DEN - 1)) / DEN)
+    return sets.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) <= spare).drop("own")
+
+
+def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): one text of each wanted node; wanted: (node, text_hash)."""
+    rows = common.maybe_in(docs.select(F.xxhash64("text").alias("text_hash"), "text"), wanted, "text_hash")
+    return rows.groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash").select("node", "text")
+
+
+def prefix_table(texts: DataFrame, counts) -> DataFrame:
+    """(node, n, grp, bits, prefix) of (node, text): grp is the hash of prefix and size."""
 
     def run(batches):
         df = counts.value
@@ -127,7 +178,6 @@ def documents_table(docs: DataFrame, counts) -> DataFrame:
             for a, b in common.slices(texts):
                 sets, at = shingle_sets(texts[a:b])
                 n = np.diff(at)
-                node = set_ids(sets, at)
                 rare = df[(sets >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 doc = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((sets, rare, doc))
@@ -137,65 +187,28 @@ def documents_table(docs: DataFrame, counts) -> DataFrame:
                 grp = set_ids(pre, cut) ^ common.mix64(n.astype(U64) + U64(7))
                 yield pd.DataFrame(
                     {
-                        "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
-                        "text_hash": pdf["text_hash"].iloc[a:b].to_numpy(),
+                        "node": pdf["node"].iloc[a:b].to_numpy(),
                         "n": n,
-                        "node": node.view(np.int64),
                         "grp": grp.view(np.int64),
                         "bits": bitmaps(sets, at),
                         "prefix": [pre[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)],
                     }
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, node long, grp long, bits binary, prefix array<long>")
-
-
-def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted text hashes, one text of each node.
+    return texts.mapInPandas(run, "node long, n long, grp long, bits binary, prefix array<long>")
 
-    A Bloom filter of fixed size lets most other texts go before their shingles are made; the join after it is exact.
-    """
-    bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-
-    def mark(batches):
-        own = np.zeros_like(bits)
-        for pdf in batches:
-            for p in _places(pdf["text_hash"].to_numpy()):
-                np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        at = np.flatnonzero(own)
-        if len(at):
-            yield pd.DataFrame({"at": at.astype(np.int32), "bits": own[at].astype(np.int32)})
 
-    for r in wanted.select("text_hash").mapInPandas(mark, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[r["at"]] = r["bits"]
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def node_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes; texts: (node, text)."""
 
     def run(batches):
-        bits = held.value
-        seen = set()
         for pdf in batches:
-            h = pdf["text_hash"].to_numpy()
-            maybe = np.ones(len(h), bool)
-            for p in _places(h):
-                maybe &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            rows = [i for i in np.flatnonzero(maybe) if not (h[i] in seen or seen.add(h[i]))]
-            if len(seen) > 1_000_000:
-                seen.clear()  # only saves work; repeated texts are dropped below
-            texts = [pdf["text"].iloc[i] or "" for i in rows]
+            texts = [t or "" for t in pdf["text"]]
             for a, b in common.slices(texts):
                 sets, at = shingle_sets(texts[a:b])
-                yield pd.DataFrame({"text_hash": h[rows[a:b]], "shingles": [sets[x:y].view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]})
-
-    found = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "text_hash long, shingles array<long>")
-    one = found.join(wanted, "text_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return common.materialise(one)
-
+                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "shingles": [sets[x:y].view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]})
 
-def _places(h: np.ndarray):
-    x = common.mix64(h.astype(np.int64).view(U64).copy())
-    for shift in (0, 26, 13):
-        yield ((x >> U64(shift)) & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+    return common.materialise(texts.join(wanted, "node", "left_semi").mapInPandas(run, "node long, shingles array<long>"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,32 +242,49 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near("x", "y", "p", "q")).select("a", "b")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def linked(texts: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the node pairs those that link: filtered by bitmap, then verified on the whole sets of what is left."""
     left = common.materialise(possible(pairs, nodes))
     if left.isEmpty():
         return left
     ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    wanted = common.materialise(nodes.select("node", "text_hash").join(ends, "node"))
-    sets = node_sets(docs, wanted)
+    sets = node_sets(texts, ends)
     out = common.materialise(verified(left, sets))
-    common.discard(sets, left, wanted)
+    common.discard(sets, left)
     return out
 
 
+def size_class(n: str):
+    """Sets whose classes differ by more than one are too unlike in size to link."""
+    return F.floor(F.log(F.col(n) * F.lit(1.0)) / float(np.log(DEN / NUM))).cast("int")
+
+
+def open_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): nodes of one list in different components that may link. marked: (token, n, p, node, root).
+
+    A list is joined with itself only between neighbouring classes of size.
+    """
+    one = marked.withColumn("size", size_class("n"))
+    near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    two = one.select("token", near.alias("size"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("node").alias("b"), F.col("root").alias("root2"))
+    test = (F.col("node") < F.col("b")) & (F.col("root") != F.col("root2")) & fits("n", "p", "n2", "p2")
+    return one.join(two, ["token", "size"]).where(test).select(F.col("node").alias("a"), "b").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, root, component_id) of each document; root names the class, null without shingles."""
-    common.small_batches(docs.sparkSession)
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
-    # one row of each set, its texts and least id; the prefix of each group once
-    full = common.materialise(documents_table(docs, counts))
-    rows = full.select("doc_id", "text_hash", "n", "node", "grp")
-    some = full.where("n > 0")
-    nodes = common.materialise(
-        some.groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), F.first("bits").alias("bits"))
-    )
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    full = common.materialise(set_table(docs))
+    wanted = common.materialise(may_link(full))
+    rows = common.materialise(full.select("doc_id", "text_hash", "n", "node"))
+    common.discard(full)
+    texts = common.materialise(node_texts(docs.select("text"), wanted.select("node", "text_hash")))
+    counts = spark.sparkContext.broadcast(sketch(texts))
+    nodes = common.materialise(prefix_table(texts, counts))
+    counts.destroy()
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
-    prefixes = common.materialise(some.groupBy("grp").agg(F.first("prefix").alias("prefix")))
+    prefixes = common.materialise(nodes.groupBy("grp").agg(F.first("prefix").alias("prefix")))
     # shingles of one group's prefix alone go before anything else is done with them
     shared = common.materialise(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
     postings = common.maybe_in(prefixes.select("grp", F.posexplode("prefix").alias("p", "token")), shared, "token")
@@ -262,28 +292,36 @@ def classes(docs: DataFrame) -> DataFrame:
     # a set that near copies were made from has no shingle of its own, so it is in the most lists: the hub to try
     lists = common.materialise(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("rep"))))
     common.discard(prefixes, shared)
-    inside = nodes.join(groups.where("m > 1").select("grp", "rep"), "grp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    nodes_ = nodes.select("node", "n", "grp", "bits")
+    inside = nodes_.join(groups.where("m > 1").select("grp", "rep"), "grp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "p"), F.struct(-F.col("lists"), "rep")).alias("h"))
     spokes = lists.join(hubs, "token").where((F.col("rep") != F.col("h.rep")) & fits("n", "p", "h.n", "h.p"))
     spokes = spokes.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
     tried = common.materialise(inside.unionByName(spokes).distinct())
-    links = linked(docs, tried, nodes)
+    links = linked(texts, tried, nodes_)
     label = components(links)
-    # the rest: nodes of one list in different components, all of them
+    # the rest: nodes of one list in different components, all of them; lists that are one component go before groups are expanded
+    placed = common.materialise(nodes_.join(label, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")))
+    spans = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     own = groups.where("m > 1").select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("p"))  # each group's nodes among themselves
-    marked = lists.select("token", "grp", "n", "p").unionByName(own).join(nodes.select("grp", "node"), "grp").join(label, "node", "left").select("token", "n", "p", "node", F.coalesce("root", "node").alias("root"))
-    open_ = marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    marked = common.materialise(marked.join(open_, "token"))
-    other = marked.select("token", F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("node").alias("b"), F.col("root").alias("root2"))
-    rest = marked.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root2")) & fits("n", "p", "n2", "p2")).select(F.col("node").alias("a"), "b").distinct()
-    rest = common.materialise(rest.join(tried, ["a", "b"], "left_anti"))
+    entries = lists.select("token", "grp", "n", "p").unionByName(own)
+    open_ = entries.join(spans, "grp").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    marked = common.materialise(entries.join(open_, "token").join(placed, "grp").select("token", "n", "p", "node", "root"))
+    rest = common.materialise(open_pairs(marked).join(tried, ["a", "b"], "left_anti"))
+    more = None
     if not rest.isEmpty():
-        label = components(links.unionByName(linked(docs, rest, nodes)))
-    named = nodes.join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        more = linked(texts, rest, nodes_)
+        label = components(links.unionByName(more))
+    # a set that links with nothing is its own class, and so is one that was not wanted
+    named = wanted.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(names, "root").select("node", "root", "component_id")
+    ids = common.materialise(named.join(names, "root").select("node", "root", "component_id"))
+    common.discard(nodes, lists, tried, links, label, placed, marked, rest, texts, wanted, more)
     alone = rows.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(ids, "node").select("doc_id", "text_hash", "n", "root", "component_id").unionByName(alone)
+    some = rows.where("n > 0")
+    same = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k"))
+    found = common.join_hot(some, same.join(ids, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "node")
+    return found.select("doc_id", "text_hash", "n", "root", "component_id").unionByName(alone)
 
 
 def fits(n: str, p: str, m: str, q: str):
@@ -304,7 +342,7 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
 
     Documents without shingles link with nothing and stay.
     """
-    found = classes(docs.select("doc_id", "text"))
+    found = common.materialise(classes(docs.select("doc_id", "text")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash"))
     keep = found.where("n > 0").groupBy("root").agg(least.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("key"), F.lit(True).alias("one"))
     alone = found.where("n = 0").select(F.xxhash64("doc_id", "text_hash").alias("key"), F.lit(False).alias("one")).distinct()
