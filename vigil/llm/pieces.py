@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 500_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 
 
 def default_model() -> str:
@@ -39,9 +39,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-_KEPT: dict[tuple, Encoder] = {}
-
-
 class Encoder:
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], unigram: bool):
         """kinds: normal, byte, unknown or other, of each id."""
@@ -70,10 +67,6 @@ class Encoder:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "pool": np.zeros(0, np.int32), "pool_at": np.zeros(1, np.int64), "pairs": {}}
 
-    def kept(self) -> Encoder:
-        """The worker process's encoder of this model: words and pairs stay known from task to task."""
-        return _KEPT.setdefault((tuple(self.pieces[-9:]), len(self.pieces), sum(self.scores), self.unigram), self)
-
     @classmethod
     def load(cls, path: str) -> Encoder:
         import sentencepiece
@@ -209,13 +202,13 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     docs = docs.drop(*names)
 
     def run(batches):
-        own_encoder = encoder.kept()
+        # words and pairs stay known within the task; the encoder goes with it
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in common.slices(texts):
                 own = texts[a:b]
-                ids, starts = own_encoder.encode(own)
-                back = own_encoder.decode(ids, starts)
+                ids, starts = encoder.encode(own)
+                back = encoder.decode(ids, starts)
                 same = [x == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for x, t in zip(back, own, strict=True)]
                 columns = [*batch.slice(a, b - a).columns, pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in added)])
