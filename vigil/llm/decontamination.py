@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 A window is SPAN consecutive words of a benchmark item; a shorter item is one window. Hashes of KGRAM words are taken of documents and
-items and the least of every KEEP consecutive ones is kept, KGRAM + KEEP - 1 = SPAN, so that any shared window shares a kept hash. Documents
-that share one with the benchmark (or hold a short item's hash) are read again and their windows compared; the
-words that occurring windows cover are counted as a union of spans.
+items; of every KEEP consecutive ones the least is kept with its place, KGRAM + KEEP - 1 = SPAN, so that any shared window shares a kept hash,
+at the same place in it. Documents that share one with the benchmark (or hold a short item's hash) are read again, one text of each, and
+each hit is extended: the windows around its place are compared with the items'. The words that
+occurring windows cover are counted as a union of spans.
 
 Letters are folded from A to Z alone, for the fingerprints as for the windows: lower case beyond them may depend on what follows (capital sigma),
-and then equal words would differ.
+and then equal words would differ. Texts and windows are equal if two 64-bit hashes of each are.
 
 Defined results: null has no words; documents and items without words hit nothing; equal rows have equal results, rows of one id
 with different texts their own; a null item_id counts as the id `null`; no documents give no rows, no items no hits; other columns
@@ -15,8 +16,6 @@ are ignored. The benchmark's tables are broadcast only when their counted size i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +44,20 @@ def grams(w: str, k: Column | int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<long>"))
 
 
-def winnowed(df: DataFrame, w: str, out: str) -> DataFrame:
-    """Adds the distinct kept hashes of the words."""
+def kept(w: str) -> Column:
+    """array<struct<g, pos>>: the least of every KEEP hashes with its place, once for neighbours that share it. Over the column _g of the words' grams."""
     n = F.size("_g") - KEEP + 1
-    kept = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice("_g", i, KEEP))))
-    return df.withColumn("_g", grams(w, KGRAM)).withColumn(out, F.when(n > 0, kept).otherwise(F.array().cast("array<long>"))).drop("_g")
+    least = lambda i: F.struct(
+        F.array_min(F.slice("_g", i, KEEP)).alias("g"), (i - 1 + F.array_position(F.slice("_g", i, KEEP), F.array_min(F.slice("_g", i, KEEP)))).cast("int").alias("pos")
+    )
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), least)).otherwise(F.array().cast("array<struct<g:bigint,pos:int>>"))
+
+
+def winnowed(df: DataFrame, w: str, out: str) -> DataFrame:
+    """Adds the kept hashes of the words and their places (from 1)."""
+    rows = df.withColumn("_g", grams(w, KGRAM)).withColumn("_k", kept(w))
+    fresh = F.filter("_k", lambda x, i: (i == 0) | (F.get("_k", i - 1)["pos"] != x["pos"]))
+    return rows.withColumn(out, fresh).drop("_g", "_k")
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -57,41 +65,64 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _marked(hashes: Column, n: int) -> Column:
-    return F.transform(hashes, lambda g: F.struct(F.lit(n).alias("len"), g.alias("g")))
+def text_key() -> Column:
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+
+
+def _windows(w: str, starts: Column, n: Column | int) -> Column:
+    """array<struct<len, start, g, g2>> of the windows of n words at the starts (from 1)."""
+    n = F.lit(n) if isinstance(n, int) else n
+    one = lambda i: F.struct(n.alias("len"), i.alias("start"), F.xxhash64(F.slice(w, i, n)).alias("g"), F.xxhash64(F.slice(w, i, n), F.lit(1)).alias("g2"))
+    return F.transform(starts, one)
+
+
+def _whole(n: int) -> Column:
+    """Marks of all n words' hashes, at no place."""
+    return F.transform(F.array_distinct(grams("w", n)), lambda g: F.struct(F.lit(n).alias("len"), g.alias("g"), F.lit(0).alias("pos")))
+
+
+def _all_starts(w: str, n: Column | int) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, items) of each document; items: sorted ids, null if none."""
+    """(doc_id, key, n_words, n_hit, items) of each document; key: the text's; items: sorted ids, null if none."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").select("item", words(fold_ascii("text")).alias("w"))
     items = items.where(F.size("w") > 0)
     span = F.least(F.size("w"), F.lit(SPAN))
-    windows = common.materialise(items.select("item", span.alias("len"), F.explode(F.array_distinct(grams("w", span))).alias("g")).distinct())
+    windows = items.select("item", F.explode(_windows("w", _all_starts("w", span), span)).alias("x")).select("item", "x.len", "x.g", "x.g2").distinct()
+    windows = common.materialise(windows)
     short = sorted(r[0] for r in windows.where(F.col("len") < SPAN).select("len").distinct().collect())
-    marks = winnowed(items.where(F.size("w") >= SPAN), "w", "g").select(F.lit(0).alias("len"), F.explode("g").alias("g"))
-    brief = items.where(F.size("w") < SPAN).select(F.size("w").alias("len"), F.xxhash64("w").alias("g"))
+    marks = winnowed(items.where(F.size("w") >= SPAN), "w", "k").select(F.lit(0).alias("len"), F.explode("k.g").alias("g"))
+    brief = windows.where(F.col("len") < SPAN).select("len", "g")
     marks = sized(common.materialise(marks.unionByName(brief).distinct()))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(fold_ascii("text")).alias("w"))
-    rows = winnowed(rows, "w", "kept")
-    found = [_marked(F.col("kept"), 0), *[_marked(F.array_distinct(grams("w", n)), n) for n in short]]
-    rows = common.materialise(rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if short else found[0]).alias("marks")))
-    again = rows.select("text_hash", F.explode("marks").alias("m")).select("text_hash", "m.*").join(marks, ["len", "g"], "left_semi").select("text_hash").distinct()
-    again = common.materialise(again)
-
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(sized(again), "text_hash", "left_semi")
-    lengths = [*short, SPAN]
-    placed = texts.select("text_hash", words(fold_ascii("text")).alias("w"))
-    spans = reduce(DataFrame.unionByName, [placed.select("text_hash", F.lit(n).alias("len"), F.posexplode(grams("w", n)).alias("start", "g")) for n in lengths])
-    hits = common.materialise(spans.join(sized(windows.select("len", "g").distinct()), ["len", "g"], "left_semi").distinct())
+    rows = winnowed(docs.select("doc_id", text_key().alias("key"), words(fold_ascii("text")).alias("w")), "w", "kept")
+    found = [F.transform("kept", lambda x: F.struct(F.lit(0).alias("len"), x["g"].alias("g"), x["pos"].alias("pos"))), *[_whole(n) for n in short]]
+    rows = common.materialise(rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("marks")))
+    hit = rows.select("key", F.explode("marks").alias("m")).select("key", "m.*").join(marks, ["len", "g"], "left_semi")
+    # of one text's copies the places are the same: a set no larger than the text
+    again = common.materialise(hit.groupBy("key").agg(F.collect_set("pos").alias("at")))
+
+    texts = docs.select(text_key().alias("key"), "text").join(sized(again.select("key")), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text")).join(again, "key")
+    placed = texts.select("key", "at", words(fold_ascii("text")).alias("w"))
+    # a kept hash at place p lies in the windows that begin at p - KEEP + 1 to p
+    around = F.flatten(F.transform(F.filter("at", lambda p: p > 0), lambda p: F.sequence(F.greatest(F.lit(1), p - KEEP + 1), p)))
+    starts = F.array_distinct(F.filter(around, lambda i: i <= F.size("w") - SPAN + 1))
+    made = F.concat(_windows("w", starts, SPAN), *[_windows("w", _all_starts("w", n), n) for n in short])
+    spans = placed.select("key", F.explode(made).alias("x")).select("key", "x.*")
+    hits = common.materialise(spans.join(sized(windows.select("len", "g", "g2").distinct()), ["len", "g", "g2"], "left_semi"))
 
     end = F.col("start") + F.col("len")
-    before = F.max(end).over(Window.partitionBy("text_hash").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), end - F.greatest(F.coalesce(before, F.lit(0)), "start"))
-    covered = hits.withColumn("fresh", fresh).groupBy("text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    named = hits.select("text_hash", "len", "g").distinct().join(sized(windows), ["len", "g"]).groupBy("text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    result = covered.join(named, "text_hash")
-    return rows.select("doc_id", "text_hash", "n_words").join(result, "text_hash", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    before = F.max(end).over(Window.partitionBy("key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), end - F.greatest(F.coalesce(before, F.lit(1)), "start"))
+    covered = hits.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    named = hits.select("key", "len", "g", "g2").distinct().join(sized(windows), ["len", "g", "g2"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    result = common.materialise(covered.join(named, "key"))
+    common.discard(again, hits)
+    return common.join_hot(rows.select("doc_id", "key", "n_words"), result, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
 
 
 def contaminated() -> Column:
@@ -112,9 +143,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Keeps the documents that are not contaminated, as they were."""
-    bad = contamination(docs, benchmark).where(contaminated()).select("text_hash").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("text_hash"))
-    return rows.join(sized(common.materialise(bad)), "text_hash", "left_anti").select("doc.*")
+    bad = common.materialise(contamination(docs, benchmark).where(contaminated()).select("key").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), text_key().alias("key"))
+    return rows.join(sized(bad), "key", "left_anti").select("doc.*")
 
 
 ORACLE_SQL = rf"""
