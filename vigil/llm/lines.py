@@ -3,7 +3,7 @@
 A line is its words: runs of other than blanks, in lower case. Lines of equal words are repeats, whatever their length; lines of NEAR_WORDS or more that one inserted,
 deleted or replaced word tells apart (word edit distance 1) are near copies. Of repeats and near copies the earliest line stays, in order of doc_id, then place.
 
-1. Equal lines are grouped by hash; each group's earliest occurrence stands for it.
+1. Equal lines are grouped by two 64-bit hashes; each group's earliest occurrence stands for it.
 2. Lines of one edit agree in the words before the middle or in those after it. Lines that share neither half with another line can have no near
    copy and go no further; this loses nothing.
 3. Of the others all variants with one word deleted, and the line itself, are emitted as hashed keys. Lines of one key and one deleted
@@ -28,7 +28,6 @@ from . import common
 
 LEAST_WORDS = 1
 NEAR_WORDS = 4
-BITMAP_BITS = 27
 _BLANK = "[ \t\x0b\x0c\r]+"
 
 
@@ -53,17 +52,10 @@ def exploded(docs: DataFrame) -> DataFrame:
     return lines.where(F.length("line") >= 2 * LEAST_WORDS - 1)
 
 
-def _cell() -> Column:
-    return F.pmod(F.xxhash64("text_hash", "line_no"), F.lit(1 << BITMAP_BITS))
-
-
 def only_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose place may be wanted: by bitmaps over hashed places, BITMAP_BITS bits in all whatever the input."""
-    place = F.shiftright(_cell(), 15).cast("int").alias("bucket"), F.pmod(_cell(), F.lit(1 << 15)).alias("bit")
-    bitmaps = wanted.select(*place).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))), F.lit(2)) == 1
-    return lines.select("*", *place).join(F.broadcast(bitmaps), "bucket").where(is_set).drop("bucket", "bit", "bits")
+    """The lines whose place may be wanted: by bitmaps over hashed places, of fixed size whatever the input."""
+    place = F.xxhash64("text_hash", "line_no").alias("_place")
+    return common.maybe_in(lines.select("*", place), wanted.select(place), "_place").drop("_place")
 
 
 def one_edit(x: Column, y: Column) -> Column:
@@ -77,49 +69,61 @@ def one_edit(x: Column, y: Column) -> Column:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the ascending places of each document's dropped lines."""
+    line_id = ["h", "h2"]
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
     rows = exploded(docs).select("doc_id", "text_hash", "line_no", line_words("line").alias("w"))
-    rows = rows.select("doc_id", "text_hash", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("h"), _half_keys("w").alias("keys"))
+    rows = rows.select("doc_id", "text_hash", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("h2"), _half_keys("w").alias("keys"))
     # filtered when read again: before, the filter would split every line once more
-    rows = common.materialise(rows).where(F.col("n") >= LEAST_WORDS)
+    stored = common.materialise(rows)
+    rows = stored.where(F.col("n") >= LEAST_WORDS)
     # equal rows of documents count once
-    groups = common.materialise(
-        rows.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("keys", order).alias("keys")).withColumn("again", F.col("first") != F.col("last"))
-    )
-    halves = groups.where("keys IS NOT NULL").select("h", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    near = common.materialise(halves.join(shared, "key").select("h").distinct().join(groups.select("h", "first"), "h"))
+    least = F.min(F.struct("at.*", "keys")).alias("f")
+    groups = rows.withColumn("at", order).groupBy(*line_id).agg(least, F.max("at").alias("last"), F.count(F.lit(1)).alias("k"))
+    groups = groups.select(*line_id, F.struct("f.d", "f.t", "f.l").alias("first"), "last", "k", F.col("f.keys").alias("keys"))
+    groups = common.materialise(groups.withColumn("again", F.col("first") != F.col("last")).drop("last"))
+    halves = groups.where("keys IS NOT NULL").select(*line_id, F.explode("keys").alias("key"))
+    shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
+    near = common.join_hot(halves, common.materialise(shared), "key").select(*line_id).distinct()
+    near = common.materialise(near.join(groups.select(*line_id, "first"), line_id))
 
     places = near.select(F.col("first.t").alias("text_hash"), F.col("first.l").alias("line_no"))
-    words = only_of(exploded(docs), places).select(order.alias("at"), line_words("line").alias("w")).withColumn("h", F.xxhash64("w"))
-    lines = words.join(near.select("h", F.col("first").alias("at")), ["h", "at"]).groupBy("h").agg(F.first("at").alias("at"), F.first("w").alias("w"))
+    words = only_of(exploded(docs), places).select(order.alias("at"), line_words("line").alias("w")).withColumns({"h": F.xxhash64("w"), "h2": F.xxhash64("w", F.lit(1))})
+    lines = words.join(near.select(*line_id, F.col("first").alias("at")), [*line_id, "at"]).groupBy(*line_id).agg(F.first("at").alias("at"), F.first("w").alias("w"))
     lines = common.materialise(lines)
     # a hash of words by place, joined by exclusive or: without the word at a place, those after it count one place less
-    each = lines.select("h", "at", F.posexplode("w").alias("p", "word")).withColumns({"here": F.xxhash64("word", "p"), "moved": F.xxhash64("word", F.col("p") - 1)})
-    line = Window.partitionBy("h")
+    each = lines.select(*line_id, "at", F.posexplode("w").alias("p", "word")).withColumns({"here": F.xxhash64("word", "p"), "moved": F.xxhash64("word", F.col("p") - 1)})
+    line = Window.partitionBy(*line_id)
     upto = line.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.select("h", "at", "p", "here", F.expr("bit_xor(here)").over(upto).alias("front"), F.expr("bit_xor(moved)").over(upto).alias("gone"), F.expr("bit_xor(moved)").over(line).alias("all"), F.expr("bit_xor(here)").over(line).alias("whole"))
+    xor = lambda c, w, name: F.expr(f"bit_xor({c})").over(w).alias(name)
+    each = each.select("at", "p", "here", xor("here", upto, "front"), xor("moved", upto, "gone"), xor("moved", line, "all"), xor("here", line, "whole"))
     key = F.col("front").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("gone"))
     entry = lambda place, k: F.struct(place.alias("place"), k.alias("key"))
     own = F.array(entry(F.col("p") + 1, key))
     both = F.when(F.col("p") == 0, F.array(entry(F.col("p") + 1, key), entry(F.lit(0), F.col("whole")))).otherwise(own)
-    variants = common.materialise(each.select("h", "at", F.explode(both).alias("v")).select("h", "at", "v.place", "v.key"))
-    twins = variants.groupBy("key", "place").agg(F.min("at").alias("same"))
+    variants = common.materialise(each.select("at", F.explode(both).alias("v")).select("at", F.xxhash64("v.key", "v.place").alias("twin"), "v.place", "v.key"))
+    twins = variants.groupBy("key", "place").agg(F.min("at").alias("same"), F.count(F.lit(1)).alias("k"))
     keys = twins.groupBy("key").agg(F.min("same").alias("any"), F.min(F.when(F.col("place") == 0, F.col("same"))).alias("whole"))
-    earliest = twins.join(keys, "key").select("key", "place", F.when(F.col("place") == 0, F.col("any")).otherwise(F.least("same", "whole")).alias("before"))
-    candidates = variants.join(earliest, ["key", "place"]).where(F.col("before") < F.col("at")).select("h", F.col("before").alias("at")).distinct()
-    other = lines.select("at", F.col("w").alias("y"))
-    flagged = candidates.join(other, "at").join(lines.select("h", F.col("w").alias("x")), "h").where(one_edit(F.col("x"), F.col("y"))).select("h", F.lit(True).alias("near")).distinct()
-
-    judged = groups.select("h", "first", "again").join(common.materialise(flagged), "h", "left").where("again OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = rows.select("doc_id", "text_hash", "line_no", "h").join(judged, "h").where(F.col("near") | (order != F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    before = F.when(F.col("place") == 0, F.col("any")).otherwise(F.least("same", "whole"))
+    # a line's earliest candidates: those equal to the line itself go at once, and with them keys of one line
+    earliest = common.materialise(twins.join(keys, "key").select(F.xxhash64("key", "place").alias("twin"), before.alias("before"), "k").where((F.col("k") > 1) | (F.col("before") != F.col("same"))))
+    candidates = common.join_hot(variants.select("twin", "at"), earliest, "twin").where(F.col("before") < F.col("at")).select("at", "before").distinct()
+    other = lines.select(F.col("at").alias("before"), F.col("w").alias("y"), F.lit(1).alias("one"))
+    mine = lines.select(*line_id, "at", F.col("w").alias("x"))
+    pairs = common.join_hot(common.materialise(candidates), other.drop("one"), "before").join(mine, "at")
+    flagged = common.materialise(pairs.where(one_edit(F.col("x"), F.col("y"))).select(*line_id, F.lit(True).alias("near")).distinct())
+
+    judged = groups.select(*line_id, "first", "again", "k").join(flagged, line_id, "left").where("again OR near")
+    judged = common.materialise(judged.select(F.struct(*line_id).alias("line"), "first", F.coalesce("near", F.lit(False)).alias("near"), "k"))
+    gone = common.join_hot(rows.select("doc_id", "text_hash", "line_no", F.struct(*line_id).alias("line")), judged, "line").where(F.col("near") | (order != F.col("first")))
+    gone = common.materialise(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
+    common.discard(stored, groups, near, lines, variants, earliest, flagged, judged)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their dropped lines cut out of `text`; adds _n_lines and _n_dropped (in place of columns of those names)."""
     names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    gone = common.materialise(dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone"))
+    gone = dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone")
     rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
     text, lines = F.col("doc.text"), F.col("lines")
     rows = rows.withColumn("lines", F.split(text, "\n"))  # once, not for each piece
