@@ -132,6 +132,9 @@ def features(text: str, span: Span) -> list[float]:
         float(before.rstrip(" \"'")[-1:] in ("=", ":") and bool(before)),
         float(after[:1].isalnum()),
         float(before.rstrip()[-1:] in "$€£" and bool(before.strip())),
+        float(before.rstrip(" ().-/")[-1:].isdigit()),  # part of a longer run of numbers
+        float(before.rstrip(" (")[-1:] == "+"),
+        float(text[e : e + 3].lstrip(" ().-/")[:1].isdigit()),
         *(float(w in low) for w in _WORDS),
     ]
 
@@ -278,25 +281,21 @@ class Detector:
         if not text:
             return [], []
         base = base_spans(text)
-        taken = sorted((s, e) for s, e, _ in base)
-        free = [c for c in candidates(text) if not _overlaps(taken, c)]
+        taken = bytearray(len(text))  # a mark for each sign of a span
+        for start, end, _ in base:
+            taken[start:end] = b"\1" * (end - start)
+        free = [c for c in candidates(text) if taken.find(1, c[0], c[1]) < 0]
         added: list[Span] = []
         if free:
             p = self.score(text, free)
             for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i])):
-                if p[i] >= self.thresholds[free[i][2]] and not _overlaps(taken, free[i]):
+                start, end, kind = free[i]
+                if p[i] >= self.thresholds[kind] and taken.find(1, start, end) < 0:
                     added.append(free[i])
-                    taken = sorted([*taken, free[i][:2]])
+                    taken[start:end] = b"\1" * (end - start)
         return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
-    from bisect import bisect_left
-
-    i = bisect_left(taken, (span[1],))
-    return any(e > span[0] for _, e in taken[max(0, i - 4) : i])
-
-
 @lru_cache(maxsize=1)
 def detector(seed: int = 11) -> Detector:
     rng = random.Random(seed)
@@ -367,6 +366,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, KINDS[:4]),
         F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join("spans", ",").alias("spans"),
+        (F.size("spans") > 0).alias("personal"),
     )
 
 
