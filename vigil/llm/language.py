@@ -1,7 +1,7 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Trained by follow-the-regularised-leader with elastic-net penalties on at most SAMPLE documents of each language (lowest id
-hash), then calibrated with one temperature on a part of them that training leaves out. Every document is scored over its
+hash; texts of more than common.TRAIN_CHARS signs take no part in training, nor does what is beyond SAMPLE * MOST_LANGUAGES rows), then calibrated with one temperature on a part of them that training leaves out. Every document is scored over its
 whole text.
 
 Defined results: null text or no letter: `und`, score 0. No usable training row: `und` everywhere. A null doc_id counts as
@@ -21,7 +21,8 @@ SAMPLE = 600
 BUCKETS = 1 << 14
 ORDERS = 3
 EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-2, 1e-4
+MOST_LANGUAGES = 500
 _SHIFT = np.uint32(32 - 14)
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 # letters as they are, everything else a space
@@ -122,16 +123,13 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
     rows = docs.where(F.col("lang").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    classes = [r[0] for r in rows.select("lang").distinct().collect()]  # languages, not documents
-    if not classes:
-        return Model([])
-    chosen = common.lowest(rows.select("doc_id", "lang"), "lang", sorted(classes), sample).select("doc_id").distinct()
+    chosen = common.lowest(rows.select("doc_id", "lang"), "lang", sample, MOST_LANGUAGES).select("doc_id").distinct()
     found = (
-        rows.where(F.col("text").isNotNull())
+        rows.where(F.col("text").isNotNull() & (F.length("text") <= common.TRAIN_CHARS))
         .select("doc_id", "lang", "text")
         .join(F.broadcast(chosen), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "text")
-        .limit(sample * len(classes))
+        .limit(sample * MOST_LANGUAGES)
         .select("lang", "text")
         .collect()
     )
@@ -139,7 +137,8 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to the documents."""
+    """Adds lang_pred and score to the documents, in place of columns of those names."""
+    docs = docs.drop("lang_pred", "score")
     common.small_batches(docs.sparkSession)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
 
