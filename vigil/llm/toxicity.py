@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is its embedding (words of the training rows' vocabulary only) plus the mean of the hashed embeddings of its byte 4-grams with both ends marked. Windows of
-WINDOW words, STRIDE apart, cover the whole text and overlap; each is read both ways, pooled by attention and scored; a
+WINDOW words, STRIDE apart, cover the whole text and overlap by half, so that a passage of up to STRIDE words lies whole in one; each is read both ways, pooled by attention and scored; a
 document scores as its highest window. Trained in numpy on at most SAMPLE documents of each class, the label belonging to the
 document: each window takes the gradient in the share of its softmax among the document's windows.
 
@@ -18,7 +18,7 @@ from . import common
 from .common import Words
 
 SAMPLE = 1000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 D, H = 16, 8
 VOCABULARY, LEAST_DF, GRAMS = 8192, 6, 1 << 14
 EPOCHS, BATCH, RATE, DECAY, DROP = 5, 16, 0.02, 0.02, 0.2
