@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set (tests)."""
+    """The cluster's shared folder; a private one only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="vigil-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -99,25 +101,30 @@ def fold(doc_id: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def lowest(rows: DataFrame, by: str, values: list, limit: int) -> DataFrame:
-    """Rows of (doc_id, by) with the `limit` lowest id hashes of each value; at most len(values) * limit rows, ties aside."""
+TRAIN_CHARS = 100_000
+
+
+def lowest(rows: DataFrame, by: str, limit: int, most: int) -> DataFrame:
+    """Rows of (doc_id, by) with the `limit` lowest id hashes of each value, `most` * `limit` rows at most; in one pass.
+
+    Each task sends no more than `limit` rows of a value to the shuffle.
+    """
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    rows.sparkSession.conf.set(key, str(max(limit, int(rows.sparkSession.conf.get(key)))))
     hashed = rows.select("doc_id", by, F.xxhash64("doc_id").alias("h"))
-    kept = None
-    for v in values:
-        own = hashed.where(F.col(by) == F.lit(v))
-        own = own.orderBy("h").limit(limit)
-        kept = own if kept is None else kept.unionByName(own)
-    return kept
+    at = F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id"))
+    return hashed.withColumn("_at", at).where(F.col("_at") <= limit).drop("_at").orderBy(by, "h").limit(most * limit)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, limit: int) -> tuple[list[str], list[str]]:
     """Texts of at most `limit` labelled rows of each class outside the held-out fold; lowest id hash first.
 
-    The bound is a parameter of each classifier. Ids only choose rows, they are no input of a model.
+    The bound is a parameter of each classifier, and so is TRAIN_CHARS: longer texts are scored, but take no part in training, so that the sample's size on
+    the driver is bounded. Ids only choose rows, they are no input of a model.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", folds) != 0)).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = lowest(usable.groupBy("doc_id").agg(F.max("y").alias("y")), "y", [0, 1], limit)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    chosen = lowest(usable.groupBy("doc_id").agg(F.max("y").alias("y")), "y", limit, 2)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
     found = rows.orderBy("h", "text").limit(2 * limit).select("y", "text").collect()
     return [r.text for r in found if not r.y], [r.text for r in found if r.y]
 

@@ -294,8 +294,8 @@ def classes(docs: DataFrame) -> DataFrame:
     common.discard(prefixes, shared)
     nodes_ = nodes.select("node", "n", "grp", "bits")
     inside = nodes_.join(groups.where("m > 1").select("grp", "rep"), "grp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    hubs = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "p"), F.struct(-F.col("lists"), "rep")).alias("h"))
-    spokes = lists.join(hubs, "token").where((F.col("rep") != F.col("h.rep")) & fits("n", "p", "h.n", "h.p"))
+    hubs = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "p"), F.struct(-F.col("lists"), "rep")).alias("h"), F.count(F.lit(1)).alias("k"))
+    spokes = common.join_hot(lists, hubs, "token").where((F.col("rep") != F.col("h.rep")) & fits("n", "p", "h.n", "h.p"))
     spokes = spokes.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
     tried = common.materialise(inside.unionByName(spokes).distinct())
     links = linked(texts, tried, nodes_)
@@ -305,8 +305,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spans = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     own = groups.where("m > 1").select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("p"))  # each group's nodes among themselves
     entries = lists.select("token", "grp", "n", "p").unionByName(own)
-    open_ = entries.join(spans, "grp").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    marked = common.materialise(entries.join(open_, "token").join(placed, "grp").select("token", "n", "p", "node", "root"))
+    open_ = entries.join(spans, "grp").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("token", "k")
+    marked = common.materialise(common.join_hot(entries, open_, "token").join(placed, "grp").select("token", "n", "p", "node", "root"))
     rest = common.materialise(open_pairs(marked).join(tried, ["a", "b"], "left_anti"))
     more = None
     if not rest.isEmpty():
