@@ -37,27 +37,45 @@ def fold_ascii(text: Column | str) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def grams(w: str, k: Column | int) -> Column:
-    """Hashes of each k consecutive words; none of fewer."""
-    k = F.lit(k) if isinstance(k, int) else k
-    n = F.size(w) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<long>"))
+def hashed(df: DataFrame, text: str) -> DataFrame:
+    """Adds `w` and `v`: two hashes of each word of the text. Elements are read by place: slices within lambdas would copy the array each time."""
+    df = df.withColumn("_w", words(fold_ascii(text)))
+    return df.withColumns({"w": F.transform("_w", lambda x: F.xxhash64(x)), "v": F.transform("_w", lambda x: F.xxhash64(x, F.lit(1)))}).drop("_w")
 
 
-def kept(w: str) -> Column:
-    """array<struct<g, pos>>: the least of every KEEP hashes with its place, once for neighbours that share it. Over the column _g of the words' grams."""
-    n = F.size("_g") - KEEP + 1
-    least = lambda i: F.struct(
-        F.array_min(F.slice("_g", i, KEEP)).alias("g"), (i - 1 + F.array_position(F.slice("_g", i, KEEP), F.array_min(F.slice("_g", i, KEEP)))).cast("int").alias("pos")
-    )
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), least)).otherwise(F.array().cast("array<struct<g:bigint,pos:int>>"))
+def gram(w: str, i: Column, k: int) -> Column:
+    """Hash of the k words from place i (from 0)."""
+    return F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+
+
+def places(w: str, k: int) -> Column:
+    """Places at which k words begin."""
+    return F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+
+
+def grams(w: str, k: int) -> Column:
+    """Hashes of each k consecutive words; none of fewer."""
+    return F.transform(places(w, k), lambda i: gram(w, i, k))
 
 
 def winnowed(df: DataFrame, w: str, out: str) -> DataFrame:
-    """Adds the kept hashes of the words and their places (from 1)."""
-    rows = df.withColumn("_g", grams(w, KGRAM)).withColumn("_k", kept(w))
+    """Adds `out`, array<struct<g, pos>>: the least of every KEEP hashes with its place, once for neighbours that share it.
+
+    Such columns are to be exploded by explode_outer: of explode Spark infers a filter on the array's size, into which it would write out all of this, to be
+    worked out anew for each element.
+    """
+    rows = df.withColumn("_g", grams(w, KGRAM))
+    rows = rows.withColumn("_m", F.transform(places("_g", KEEP), lambda i: F.least(*[F.get("_g", i + j) for j in range(KEEP)])))
+
+    def least(m: Column, i: Column) -> Column:
+        at = i
+        for j in range(KEEP):  # the rightmost of equal ones
+            at = F.when(F.get("_g", i + j) == m, i + j).otherwise(at)
+        return F.struct(m.alias("g"), at.cast("int").alias("pos"))
+
+    rows = rows.withColumn("_k", F.transform("_m", least))
     fresh = F.filter("_k", lambda x, i: (i == 0) | (F.get("_k", i - 1)["pos"] != x["pos"]))
-    return rows.withColumn(out, fresh).drop("_g", "_k")
+    return rows.withColumn(out, fresh).drop("_g", "_m", "_k")
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -69,36 +87,31 @@ def text_key() -> Column:
     return F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
 
 
-def _windows(w: str, starts: Column, n: Column | int) -> Column:
-    """array<struct<len, start, g, g2>> of the windows of n words at the starts (from 1)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    one = lambda i: F.struct(n.alias("len"), i.alias("start"), F.xxhash64(F.slice(w, i, n)).alias("g"), F.xxhash64(F.slice(w, i, n), F.lit(1)).alias("g2"))
-    return F.transform(starts, one)
+def _windows(starts: Column, n: int) -> Column:
+    """array<struct<len, start, g, g2>> of the windows of n words at the places."""
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("len"), i.alias("start"), gram("w", i, n).alias("g"), gram("v", i, n).alias("g2")))
 
 
 def _whole(n: int) -> Column:
     """Marks of all n words' hashes, at no place."""
-    return F.transform(F.array_distinct(grams("w", n)), lambda g: F.struct(F.lit(n).alias("len"), g.alias("g"), F.lit(0).alias("pos")))
-
-
-def _all_starts(w: str, n: Column | int) -> Column:
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array_distinct(grams("w", n)), lambda g: F.struct(F.lit(n).alias("len"), g.alias("g"), F.lit(-1).alias("pos")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, key, n_words, n_hit, items) of each document; key: the text's; items: sorted ids, null if none."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").select("item", words(fold_ascii("text")).alias("w"))
-    items = items.where(F.size("w") > 0)
-    span = F.least(F.size("w"), F.lit(SPAN))
-    windows = items.select("item", F.explode(_windows("w", _all_starts("w", span), span)).alias("x")).select("item", "x.len", "x.g", "x.g2").distinct()
-    windows = common.materialise(windows)
+    items = hashed(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text"), "text").drop("text")
+    items = common.materialise(items.where(F.size("w") > 0))
+    size = F.size("w")
+    made = F.when(size >= SPAN, _windows(places("w", SPAN), SPAN))
+    for n in range(1, SPAN):
+        made = made.when(size == n, _windows(F.array(F.lit(0)), n))
+    windows = common.materialise(items.select("item", F.explode_outer(made).alias("x")).select("item", "x.len", "x.g", "x.g2").distinct())
     short = sorted(r[0] for r in windows.where(F.col("len") < SPAN).select("len").distinct().collect())
-    marks = winnowed(items.where(F.size("w") >= SPAN), "w", "k").select(F.lit(0).alias("len"), F.explode("k.g").alias("g"))
+    marks = winnowed(items.where(size >= SPAN), "w", "k").select(F.lit(0).alias("len"), F.explode_outer("k").alias("k")).select("len", "k.g")
     brief = windows.where(F.col("len") < SPAN).select("len", "g")
     marks = sized(common.materialise(marks.unionByName(brief).distinct()))
 
-    rows = winnowed(docs.select("doc_id", text_key().alias("key"), words(fold_ascii("text")).alias("w")), "w", "kept")
+    rows = winnowed(hashed(docs.select("doc_id", text_key().alias("key"), "text"), "text"), "w", "kept")
     found = [F.transform("kept", lambda x: F.struct(F.lit(0).alias("len"), x["g"].alias("g"), x["pos"].alias("pos"))), *[_whole(n) for n in short]]
     rows = common.materialise(rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("marks")))
     hit = rows.select("key", F.explode("marks").alias("m")).select("key", "m.*").join(marks, ["len", "g"], "left_semi")
@@ -107,21 +120,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.select(text_key().alias("key"), "text").join(sized(again.select("key")), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text")).join(again, "key")
-    placed = texts.select("key", "at", words(fold_ascii("text")).alias("w"))
-    # a kept hash at place p lies in the windows that begin at p - KEEP + 1 to p
-    around = F.flatten(F.transform(F.filter("at", lambda p: p > 0), lambda p: F.sequence(F.greatest(F.lit(1), p - KEEP + 1), p)))
-    starts = F.array_distinct(F.filter(around, lambda i: i <= F.size("w") - SPAN + 1))
-    made = F.concat(_windows("w", starts, SPAN), *[_windows("w", _all_starts("w", n), n) for n in short])
-    spans = placed.select("key", F.explode(made).alias("x")).select("key", "x.*")
+    placed = hashed(texts, "text")
+    # a kept hash at a place lies in the windows that begin up to KEEP - 1 places before it
+    around = F.flatten(F.transform(F.filter("at", lambda p: p >= 0), lambda p: F.sequence(F.greatest(F.lit(0), p - (KEEP - 1)), p)))
+    placed = placed.withColumn("starts", F.array_distinct(F.filter(around, lambda i: i <= F.size("w") - SPAN)))
+    made = F.concat(_windows(F.col("starts"), SPAN), *[_windows(places("w", n), n) for n in short])
+    spans = placed.select("key", F.explode_outer(made).alias("x")).select("key", "x.*")
     hits = common.materialise(spans.join(sized(windows.select("len", "g", "g2").distinct()), ["len", "g", "g2"], "left_semi"))
 
     end = F.col("start") + F.col("len")
     before = F.max(end).over(Window.partitionBy("key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), end - F.greatest(F.coalesce(before, F.lit(1)), "start"))
+    fresh = F.greatest(F.lit(0), end - F.greatest(F.coalesce(before, F.lit(0)), "start"))
     covered = hits.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").cast("long").alias("n_hit"))
     named = hits.select("key", "len", "g", "g2").distinct().join(sized(windows), ["len", "g", "g2"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     result = common.materialise(covered.join(named, "key"))
-    common.discard(again, hits)
+    common.discard(again, hits, items)
     return common.join_hot(rows.select("doc_id", "key", "n_words"), result, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
 
 
