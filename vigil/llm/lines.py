@@ -62,8 +62,10 @@ def one_edit(x: Column, y: Column) -> Column:
     """Whether two word lists differ by one word inserted, deleted or replaced."""
     longer, shorter = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
     n = F.size(longer)
-    replaced = F.size(F.filter(F.zip_with(x, y, lambda a, b: a != b), lambda d: d)) <= 1
-    inserted = F.exists(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice(longer, 1, i - 1), F.slice(longer, i + 1, n)) == shorter)
+    same = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b))
+    replaced = F.size(F.filter(same, lambda s: ~s)) <= 1
+    first = F.array_position(same, F.lit(False)).cast("int")  # the first place at which they differ
+    inserted = F.slice(longer, first + 1, n) == F.slice(shorter, F.greatest(F.lit(1), first), n)
     return F.when(F.size(x) == F.size(y), replaced).when(n - F.size(shorter) == 1, inserted).otherwise(False)
 
 
@@ -127,9 +129,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
     text, lines = F.col("doc.text"), F.col("lines")
     rows = rows.withColumn("lines", F.split(text, "\n"))  # once, not for each piece
-    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda i: i + 1))
-    ends = F.concat("gone", F.array(F.size(lines)))
-    kept = F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s))), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")))
+    kept = F.array_join(F.transform("left", lambda i: F.get(lines, i)), "\n")
     return rows.select(
         *[F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in names],
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
