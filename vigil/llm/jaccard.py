@@ -2,9 +2,10 @@
 
 1. Each text becomes its set of hashed shingles. Of the shingles in SHARE of the hash space it is counted exactly which ones no other set
    has. A set of n shingles that links with another has at most n - ceil(t * n) that the other lacks, so a set with more
-   shingles of its own than that links with nothing and goes no further; no link is lost.
-2. The sets that are left are ordered by a fixed-size sketch of the shingles' counts among them (rare first), so that what many texts share stays
-   out of the prefixes; any order is exact, the sketch only keeps posting lists short.
+   shingles of its own than that links with nothing and goes no further; no link is lost. Among the sets that are left the same
+   is done with all shingles.
+2. The sets that are left then are ordered: their own shingles first, which meet nothing, the others by a fixed-size sketch of their counts (rare first), so that
+   what many texts share stays out of the prefixes; any order is exact, the sketch only keeps posting lists short.
 3. Documents with the same prefix and size form one group; equal sets in it form one node (its id: the hash of the set).
 4. Groups meet over the prefix's shingles. Posting lists of one group go at once. In the others the groups are
    linked to a hub first; the pairs are filtered by size, place and a parity bitmap of each set (its differences from another's bound
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -151,15 +152,37 @@ def set_table(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, text_hash long, n long, node long, some array<long>")
 
 
+def own_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, node) of the shingles that one set alone has. Counted by sets, not by documents: copies of a set don't hide that a shingle is its own."""
+    return tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("token", "node")
+
+
+def spare() -> Column:
+    """How many of its n shingles a set may have alone and still link."""
+    return F.col("n") - F.floor((F.lit(NUM) * F.col("n") + (DEN - 1)) / DEN)
+
+
 def may_link(full: DataFrame) -> DataFrame:
-    """(node, n, text_hash, least) of the sets that may link with another one: those without too many shingles of their own."""
-    tokens = full.where("n > 0").select(F.explode("some").alias("token"), "node")
-    # counted by sets, not by documents: copies of a set don't hide that a shingle is its own
-    own = tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    """(node, n, text_hash, least) of the sets that may link with another one, as far as SHARE of the hash space tells."""
+    own = own_tokens(full.where("n > 0").select(F.explode("some").alias("token"), "node")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     sets = full.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"))
-    spare = F.col("n") - F.floor((F.lit(NUM) * F.col("n") + (DEN - 1)) / DEN)
-    return sets.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) <= spare).drop("own")
+    return sets.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) <= spare()).drop("own")
+
+
+def with_own(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, text_hash, least, text, own): the wanted sets that may link with another wanted one by all their shingles, and those of their own."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in common.slices(texts):
+                sets, at = shingle_sets(texts[a:b])
+                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "all": [sets[x:y].view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]})
+
+    tokens = texts.mapInPandas(run, "node long, all array<long>").select(F.explode("all").alias("token"), "node")
+    own = own_tokens(tokens).groupBy("node").agg(F.collect_list("token").alias("own"))
+    own = wanted.join(own, "node", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+    return own.where(F.size("own") <= spare()).join(texts, "node")
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,7 +192,10 @@ def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefix_table(texts: DataFrame, counts) -> DataFrame:
-    """(node, n, grp, bits, prefix) of (node, text): grp is the hash of prefix and size."""
+    """(node, n, grp, bits, first, prefix) of (node, text, own): grp is the hash of prefix and size.
+
+    A set's own shingles come first in its order; `prefix` holds the others of its prefix, from place `first` on.
+    """
 
     def run(batches):
         df = counts.value
@@ -178,24 +204,28 @@ def prefix_table(texts: DataFrame, counts) -> DataFrame:
             for a, b in common.slices(texts):
                 sets, at = shingle_sets(texts[a:b])
                 n = np.diff(at)
-                rare = df[(sets >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((sets, rare, doc))
+                own = [np.sort(np.asarray(x, np.int64).view(U64)) for x in pdf["own"].iloc[a:b]]
+                alone = np.concatenate([np.isin(sets[x:y], o, assume_unique=True) for x, y, o in zip(at[:-1], at[1:], own, strict=True)]) if len(sets) else np.zeros(0, bool)
+                rare = df[(sets >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((sets, rare, ~alone, doc))
                 some = np.arange(len(sets)) - at[doc] < prefix_length(n)[doc]
                 pre = sets[order][some]
                 cut = np.concatenate(([0], np.cumsum(np.where(n > 0, prefix_length(n), 0))))
                 grp = set_ids(pre, cut) ^ common.mix64(n.astype(U64) + U64(7))
+                first = np.array([len(o) for o in own], np.int64)
                 yield pd.DataFrame(
                     {
                         "node": pdf["node"].iloc[a:b].to_numpy(),
                         "n": n,
                         "grp": grp.view(np.int64),
                         "bits": bitmaps(sets, at),
-                        "prefix": [pre[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)],
+                        "first": first,
+                        "prefix": [pre[x + k : y].view(np.int64) for x, y, k in zip(cut[:-1], cut[1:], first, strict=True)],
                     }
                 )
 
-    return texts.mapInPandas(run, "node long, n long, grp long, bits binary, prefix array<long>")
+    return texts.select("node", "text", "own").mapInPandas(run, "node long, n long, grp long, bits binary, first long, prefix array<long>")
 
 
 def node_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -276,18 +306,22 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     full = common.materialise(set_table(docs))
-    wanted = common.materialise(may_link(full))
+    some = common.materialise(may_link(full))
     rows = common.materialise(full.select("doc_id", "text_hash", "n", "node"))
     common.discard(full)
-    texts = common.materialise(node_texts(docs.select("text"), wanted.select("node", "text_hash")))
+    near = common.materialise(node_texts(docs.select("text"), some.select("node", "text_hash")))
+    texts = common.materialise(with_own(near, some))
+    common.discard(some, near)
+    wanted = texts.select("node", "least")
     counts = spark.sparkContext.broadcast(sketch(texts))
     nodes = common.materialise(prefix_table(texts, counts))
     counts.destroy()
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
-    prefixes = common.materialise(nodes.groupBy("grp").agg(F.first("prefix").alias("prefix")))
+    prefixes = common.materialise(nodes.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first")))
     # shingles of one group's prefix alone go before anything else is done with them
     shared = common.materialise(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
-    postings = common.maybe_in(prefixes.select("grp", F.posexplode("prefix").alias("p", "token")), shared, "token")
+    postings = common.maybe_in(prefixes.select("grp", "first", F.posexplode("prefix").alias("p", "token")), shared, "token")
+    postings = postings.withColumn("p", F.col("p") + F.col("first")).drop("first")
     lists = postings.join(shared, "token").join(groups.select("grp", "rep", "n"), "grp")
     # a set that near copies were made from has no shingle of its own, so it is in the most lists: the hub to try
     lists = common.materialise(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("rep"))))
@@ -316,7 +350,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = wanted.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = common.materialise(named.join(names, "root").select("node", "root", "component_id"))
-    common.discard(nodes, lists, tried, links, label, placed, marked, rest, texts, wanted, more)
+    common.discard(nodes, lists, tried, links, label, placed, marked, rest, texts, more)
     alone = rows.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     some = rows.where("n > 0")
     same = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k"))
