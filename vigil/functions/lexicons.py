@@ -172,3 +172,33 @@ ENFORCEMENT_SIGNAL = (
     r"\b(?:penalty|penalti(?:es|se|ze)d?|fine[ds]?|fined|order(?:ed|s)?|ban(?:ned|s)?|adjudicat\w*|investigat\w*|notice|direct(?:s|ed|ion)?|imposed|"
     r"prosecut\w*|restrict\w*|barred)\b"
 )
+
+# Official sources.
+TRUSTED_DOMAINS = [
+    "meity.gov.in", "rbi.org.in", "cert-in.org.in", "sebi.gov.in", "irdai.gov.in",
+    "cci.gov.in", "sci.gov.in", "indiacode.nic.in", "egazette.gov.in", "uidai.gov.in",
+    "trai.gov.in", "pib.gov.in", "prsindia.org", "indiankanoon.org",
+]
+AGGREGATOR_HOSTS = ["news.google.com", "news.yahoo.com/rss"]
+AUTHORITY_DOMAINS = {
+    "Data Protection Board of India": ["meity.gov.in", "pib.gov.in"],
+    "MeitY": ["meity.gov.in", "egazette.gov.in", "pib.gov.in"],
+    "CERT-In": ["cert-in.org.in"],
+    "Reserve Bank of India": ["rbi.org.in"],
+    "Competition Commission of India": ["cci.gov.in"],
+    "IRDAI": ["irdai.gov.in"],
+    "SEBI": ["sebi.gov.in"],
+    "High Court / Supreme Court": ["sci.gov.in", "indiankanoon.org"],
+}
+AUTHORITY_SECTION = {
+    "Data Protection Board of India": "dpdpa_board",
+    "MeitY": "dpdpa_board",
+    "CERT-In": "cert_in_breach",
+    "Reserve Bank of India": "sectoral_regulators",
+    "Competition Commission of India": "sectoral_regulators",
+    "IRDAI": "sectoral_regulators",
+    "SEBI": "sectoral_regulators",
+    "High Court / Supreme Court": "courts_case_law",
+}
+RESOLVED_WORDS = ["fine of", "penalty of", "imposed a penalty", "ordered to pay", "dismissed", "closed the", "settled", "banned", "barred"]
+EXTRACTED_MONEY = r"(?i)(?:₹|rs\.?|inr)\s?[\d,]+(?:\.\d+)?\s?(?:lakh|crore|cr|million|bn|billion)?|[\d,]+(?:\.\d+)?\s?(?:lakh|crore|million|billion)"

@@ -45,8 +45,7 @@ def amounts(text: Text) -> Column:
 
 def largest(parsed: Column) -> Column:
     """The amount of the highest value, the first of equals; null if none."""
-    top = F.array_max(F.transform(parsed, lambda a: a["value"]))
-    return F.get(F.filter(parsed, lambda a: a["value"] == top), F.lit(0))
+    return F.reduce(parsed, F.lit(None).cast("struct<value:double,currency:string,raw:string>"), lambda top, a: F.when(top.isNull() | (a["value"] > top["value"]), a).otherwise(top))
 
 
 def close_to(a: Column, b: Column, tolerance: float = 0.02) -> Column:

@@ -9,7 +9,8 @@ from ..functions import text as T
 
 
 def rank_of(confidence: str = "confidence"):
-    return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["low", 1, "medium", 2, "high", 3])), F.lower(F.col(confidence))), F.lit(0))
+    """An unknown confidence ranks as low does, so the first of them stays."""
+    return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["low", 0, "medium", 1, "high", 2])), F.lower(F.col(confidence))), F.lit(0))
 
 
 def cluster(rows: DataFrame) -> DataFrame:

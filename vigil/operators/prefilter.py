@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def verdict(items: DataFrame, primary: list[str], always: list[str]) -> DataFrame:
     """Adds keep, reason and priority; a source is primary or always relevant if a listed domain is part of its name or URL."""
-    folded = {"_title": F.lower(T.filled("title")), "_t": F.lower(F.concat_ws(" ", T.filled("title"), T.filled("summary"))), "_where": F.lower(F.concat_ws(" ", T.filled("source"), T.filled("url")))}
+    folded = {"_title": F.lower(T.filled("title")), "_t": F.lower(F.concat_ws(" ", T.filled("title"), T.filled("summary"))), "_where": F.concat_ws(" ", T.filled("source"), T.filled("url"))}
     title, t, where = map(F.col, folded)
     is_primary = T.any_of(where, primary) if primary else F.lit(False)
     is_always = T.any_of(where, always) if always else F.lit(False)
@@ -53,6 +53,7 @@ def candidates(scored: DataFrame, cap: int = 15) -> DataFrame:
 
 
 def deferred(scored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rest of the kept items; chosen: at most the cap."""
     return scored.join(F.broadcast(chosen.select("arrival_idx")), "arrival_idx", "left_anti")
 
 

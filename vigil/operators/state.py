@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], ignore: bool = False) -> DataFrame:
-    """Rows of both by key: with `ignore` the old row stays, else the new one's values that are not null replace the old one's."""
-    if ignore:
-        return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], ignore: bool = False, order: str | None = None) -> DataFrame:
+    """Rows of both by key: with `ignore` the old row stays, else the new one's values that are not null replace the old one's.
+
+    Of several new rows of one key the first counts with `ignore`, else the last; by the column `order`, else by all their values.
+    """
     rest = [c for c in old.columns if c not in keys]
+    own = [c for c in rest if c in new.columns]
+    pick = F.min_by if ignore else F.max_by
+    new = new.groupBy(*keys).agg(pick(F.struct(*own), F.col(order) if order else F.struct(*own)).alias("_new")) if own else new.select(*keys).distinct().withColumn("_new", F.struct())
+    if ignore:
+        return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*keys, "_new.*"), allowMissingColumns=True)
     a = old.select(*keys, F.struct(*rest).alias("_old"))
-    b = new.select(*keys, F.struct(*[c for c in rest if c in new.columns]).alias("_new"))
-    pick = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")) if c in new.columns else F.col(f"_old.{c}")
-    return a.join(b, keys, "full").select(*keys, *[pick(c).alias(c) for c in rest])
+    value = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")) if c in own else F.col(f"_old.{c}")
+    return a.join(new, keys, "full").select(*keys, *[value(c).alias(c) for c in rest])
 
 
 def update(table: DataFrame, test: Column, patch: dict[str, Column]) -> DataFrame:

@@ -22,7 +22,7 @@ def match(rows: DataFrame, least: int = 100, tolerance: float = 0.02) -> DataFra
     long_enough = F.length(T.filled("document")) >= least
     claim = money.largest(money.amounts("penalty"))
     entity = long_enough & entity_in_text("company", "document")
-    amount = long_enough & F.exists(money.amounts("document"), lambda a: money.close_to(a, F.col("_claim"), tolerance))
+    amount = long_enough & F.col("_claim").isNotNull() & F.exists(money.amounts("document"), lambda a: money.close_to(a, F.col("_claim"), tolerance))
     low = F.lower(T.filled("document"))
     dated = long_enough & F.coalesce(F.exists(dates.variants("date"), lambda v: F.contains(low, v)), F.lit(False))
     out = rows.withColumn("_claim", claim).withColumns({"entity_matched": entity, "amount_matched": F.coalesce(amount, F.lit(False)), "date_matched": dated})
@@ -49,3 +49,72 @@ def best_evidence(evidence: DataFrame) -> DataFrame:
 
 def publishable(auto: bool = False) -> Column:
     return F.lit(auto) & (F.col("trust_tier") == "primary") & (F.col("strength") == "strong")
+
+
+def source_list(official: str, source: str, listed: str | None = None) -> Column:
+    """URLs of a candidate: the official one first, then its source, then the listed ones; blanks go."""
+    urls = F.array(T.filled(official), T.filled(source))
+    if listed:
+        urls = F.concat(urls, F.transform(F.coalesce(F.col(listed), F.array().cast("array<string>")), lambda u: T.filled(u)))
+    return F.filter(urls, lambda u: u != "")
+
+
+def reasons(rows: DataFrame) -> DataFrame:
+    """Adds reasons (in order) and excerpt to the columns of `match`; the excerpt prefers the amount's place."""
+    short = F.length(T.filled("document")) < 100
+    raw = F.get(F.filter(money.amounts("document"), lambda a: money.close_to(a, F.col("_claim"))), F.lit(0))["raw"]
+    out = rows.withColumn("_claim", money.largest(money.amounts("penalty"))).withColumn("_raw", raw)
+    first = F.get(T.distinctive_tokens("company"), F.lit(0))
+    amount = F.when(F.col("amount_matched"), F.concat(F.lit("amount_matched:"), "_raw")).when(F.col("_claim").isNotNull(), "amount_not_found").when(T.filled("penalty") != "", "penalty_not_numeric")
+    found = F.array_compact(F.array(F.when(F.col("entity_matched"), "entity_found").otherwise("entity_not_found"), amount, F.when(F.col("date_matched"), "date_matched")))
+    near = F.when(F.col("amount_matched"), F.nullif(T.excerpt("document", F.col("_raw")), F.lit("")))
+    by_name = F.when(F.col("entity_matched"), T.excerpt("document", first))
+    out = out.withColumn("reasons", F.when(short, F.array(F.lit("document_empty_or_too_short"))).otherwise(found))
+    return out.withColumn("excerpt", F.when(short, "").otherwise(F.coalesce(near, by_name, F.lit("")))).drop("_claim", "_raw")
+
+
+def verify(cases: DataFrame, documents: DataFrame, trusted: list[str]) -> DataFrame:
+    """The verification of each case: the first trusted URL of its list, the document there (url, document), the match, tier, note and independent count.
+
+    Documents are joined by URL; each URL holds one document.
+    """
+    from ..functions import urls as U
+
+    rows = cases.withColumn("urls", source_list("official_source_url", "source_url"))
+    official = F.coalesce(F.get(F.filter("urls", lambda u: T.any_of(u, trusted)), F.lit(0)), F.lit(""))
+    rows = rows.withColumn("official_url", official).join(documents.withColumnRenamed("url", "official_url"), "official_url", "left")
+    matched = reasons(match(rows))
+    lower = F.when(F.size("urls") > 0, "press").otherwise("ai")
+    note = F.when(F.col("official_url") == "", "no_official_source_found").when(T.filled("document") == "", "official_source_unreachable")
+    none = note.isNotNull()
+    blank = F.array().cast("array<string>")
+    return matched.withColumns(
+        {
+            "trust_tier": F.when(~none & F.col("verified"), "primary").otherwise(lower),
+            "note": F.coalesce(note, F.lit("")),
+            "independent_sources": U.independent_sources(F.col("urls")),
+            "verified": ~none & F.col("verified"),
+            "strength": F.when(none, "weak").otherwise(F.col("strength")),
+            "reasons": F.when(none, blank).otherwise(F.col("reasons")),
+            "excerpt": F.when(none, "").otherwise(F.col("excerpt")),
+        }
+    )
+
+
+def evidence_rows(verified: DataFrame, cap: int = 10) -> DataFrame:
+    """Evidence of the verified cases with an official URL; the first `cap` by arrival are to be archived (a top-k, joined back by broadcast)."""
+    good = verified.where(F.col("verified") & (T.filled("official_url") != ""))
+    first = good.orderBy("arrival_idx").limit(cap).select("id", F.lit(True).alias("archive"))
+    rows = good.join(F.broadcast(first), "id", "left")
+    return rows.select(F.col("id").alias("action_id"), "official_url", F.sha2(F.col("document").cast("binary"), 256).alias("content_hash"), F.left("excerpt", F.lit(1000)).alias("excerpt"), "strength", F.coalesce("archive", F.lit(False)).alias("archive"))
+
+
+def resolution_patch(cases: DataFrame, results: DataFrame, words: list[str]) -> DataFrame:
+    """The cases checked, with outcome and notes changed where search results speak of a resolution. results: (id, snippet), one row a case.
+
+    Every checked case is stamped; those without results keep what they have.
+    """
+    low = F.lower(F.left(T.filled("snippet"), F.lit(2500)))
+    hit = T.any_of(low, words)
+    rows = cases.join(results, "id", "left")
+    return rows.select("id", F.when(hit, "Fine Imposed").otherwise(F.col("outcome")).alias("outcome"), F.when(hit, "Auto-flagged possible resolution — verify.").otherwise("").alias("notes"), F.lit(True).alias("stamped"))

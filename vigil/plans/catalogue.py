@@ -16,7 +16,7 @@ from ..sources.tables import AS_OF, plain, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PRIMARY, ALWAYS = ["site1.co.in", "rbi"], ["site2.co.in"]
+PRIMARY, ALWAYS = ["site1.co.in", "rbi", "RBI"], ["site2.co.in"]
 
 
 def as_of():
@@ -114,7 +114,7 @@ RECENCY = (
     "WHEN d <= 7 THEN 3 WHEN d <= 30 THEN 1 WHEN d <= 90 THEN 0 WHEN d <= 180 THEN -3 ELSE -6 END"
 )
 SCORED = f"(SELECT *, CAST(least(20, {' + '.join(POINTS_TRACKED.values())}) + {RECENCY} AS INT) AS score FROM (SELECT *, {_T} AS t, {_S} AS s, {_AGE} AS d FROM items))"
-_W = "lower(concat_ws(' ', source, url))"
+_W = "concat_ws(' ', source, url)"
 REASON = (
     f"CASE WHEN trim(title) = '' THEN 'empty_title' WHEN {rx('t', L.NOISE)} THEN 'noise_pattern' WHEN {rx('t', L.OFF_TOPIC)} AND NOT {anyof('lower(title)', L.ANCHORS)} THEN 'off_topic_regulatory' "
     f"WHEN {rx('t', L.CORPORATE_NOISE)} AND NOT {anyof('lower(title)', L.ANCHORS)} THEN 'corporate_noise' WHEN NOT {anyof('t', L.ANCHORS)} AND NOT {anyof(_W, ALWAYS)} THEN 'no_topic_anchor' ELSE 'kept' END"
@@ -193,7 +193,14 @@ def _(spark, sf):
     return table(spark, sf, "pages").groupBy((F.col("page_id") % 10).alias("grp")).agg(F.count_distinct(urls.registrable_domain("url")).alias("n_sources"), F.count(F.lit(1)).alias("n_pages"))
 
 
-@query("exact_url_dedup", "SELECT host, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) GROUP BY host")
+@query("exact_url_dedup", "SELECT url, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY url")
+def _(spark, sf):
+    p = table(spark, sf, "pages")
+    first = prefilter.first_per(p.select("url", "page_id"), "url", ["page_id"])
+    return first.join(p.groupBy("url").agg(F.count(F.lit(1)).alias("n")), "url")
+
+
+@query("first_page_of_host", "SELECT host, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) GROUP BY host")
 def _(spark, sf):
     p = table(spark, sf, "pages").withColumn("host", urls.host("url"))
     first = prefilter.first_per(p.select("host", "page_id"), "host", ["page_id"])
@@ -265,8 +272,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     j = judged(spark, sf)
-    first = j.groupBy("url").agg(F.min("arrival_idx").alias("first"))
-    flags = j.join(first, "url").select(F.lit(True).alias("sensed"), (F.col("arrival_idx") == F.col("first")).alias("deduplicated"), "keep", "score")
+    one = j.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("keep", "score"), "arrival_idx").alias("f")).select("n", "f.*")
+    # a row of each item sensed, the first of its URL marked
+    flags = one.select("keep", "score", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).select(F.lit(True).alias("sensed"), (F.col("at") == 1).alias("deduplicated"), "keep", "score")
     flags = flags.withColumn("passed", F.col("deduplicated") & F.col("keep")).withColumn("alerted", F.col("passed") & (F.col("score") >= 12))
     return prefilter.funnel(flags, ["sensed", "deduplicated", "passed", "alerted"])
 
@@ -455,11 +463,16 @@ def _(spark, sf):
 _DOC = "concat('The authority issued an order on ', {d}, ' in the matter of ', CASE WHEN id % 3 = 0 THEN 'another firm' ELSE company END, ' and directed payment of ', CASE WHEN id % 2 = 0 THEN penalty_amount ELSE 'nothing' END, '. The order is final and binding on all parties.')"
 
 
-@query(
-    "match_document",
-    f"""SELECT id, e AS entity_matched, a AS amount_matched, d AS date_matched, e AND (a OR d) AS verified, CASE WHEN e AND a THEN 'strong' WHEN e AND d THEN 'moderate' ELSE 'weak' END AS strength FROM (
-  SELECT id, id % 3 <> 0 AS e, id % 2 = 0 AND penalty_amount <> '' AS a, id % 4 <> 0 AS d FROM cases)""",
-)
+_MDOC = _DOC.format(d="(CASE WHEN id % 4 = 0 THEN 'an earlier day' ELSE strftime(CAST(date AS DATE), '%-d %B %Y') END)")
+_MATCH = f"""WITH docs AS (SELECT id, date, company, {_MDOC} AS penalty_amount FROM cases), {_AMOUNTS.replace("FROM cases", "FROM docs")}, own AS ({_AMOUNTS.replace("amounts AS (", "", 1)[:-1]}),
+claim AS (SELECT id, arg_max(value, value) AS value, arg_max(currency, value) AS currency FROM own WHERE value > 0 GROUP BY id),
+am AS (SELECT DISTINCT f.id FROM amounts f JOIN claim c ON f.id = c.id AND f.currency = c.currency AND f.value > 0 AND abs(f.value - c.value) / greatest(f.value, c.value) <= 0.02),
+t AS (SELECT id, date, list_filter(string_split({entity_sql("company")}, ' '), lambda w: len(w) > 2 AND w NOT IN ({lst(L.WEAK_TOKENS)})) AS toks, concat(' ', regexp_replace(lower(penalty_amount), '[^a-z0-9_]', ' ', 'g')) AS low, lower(penalty_amount) AS doc FROM docs),
+m AS (SELECT id, CASE WHEN len(toks) = 0 THEN false WHEN len(toks) = 1 THEN len(list_filter(toks, lambda w: contains(low, concat(' ', w)))) >= 1 ELSE len(list_filter(toks, lambda w: contains(low, concat(' ', w)))) >= greatest(2, (len(toks) + 1) // 2) END AS e,
+  id IN (SELECT id FROM am) AS a, contains(doc, date) OR contains(doc, lower(strftime(CAST(date AS DATE), '%-d %B %Y'))) AS d FROM t)"""
+
+
+@query("match_document", f"{_MATCH} SELECT id, e AS entity_matched, a AS amount_matched, d AS date_matched, e AND (a OR d) AS verified, CASE WHEN e AND a THEN 'strong' WHEN e AND d THEN 'moderate' ELSE 'weak' END AS strength FROM m")
 def _(spark, sf):
     c = view(spark, sf, "cases")
     shown = F.when(F.col("id") % 4 == 0, "an earlier day").otherwise(F.date_format(F.to_date("date"), "d MMMM yyyy"))
@@ -731,3 +744,6 @@ def _(spark, sf):
 @query("stream_event_windows", "SELECT event_type, date_trunc('day', CAST(ts AS TIMESTAMP)) AS day, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
     return streams.daily_counts(spark, sf)
+
+
+from . import more  # noqa: E402, F401

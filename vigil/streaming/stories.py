@@ -12,7 +12,11 @@ from ..sources.tables import STORIES, table
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vigil-stream-")
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
