@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 200_000
+CACHE_WORDS = 400_000
+CACHE_PAIRS = 400_000
+SLICE = 1 << 21  # signs encoded at once: more words sorted together share more prefixes
 
 
 def default_model() -> str:
@@ -109,7 +110,7 @@ class Encoder:
         arcs: list[str] = [""]  # the piece that ends each prefix of the present word
         best = [0.0]
         before = ""
-        ids, scores, longest, pairs, tails = self.ids, self.scores, self.longest, self.pairs, self.tails
+        ids, scores, longest, pairs, tail, stands = self.ids, self.scores, self.longest, self.pairs, self.tails.get, self.stands
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -127,7 +128,7 @@ class Encoder:
                 else:
                     whole, start = [], end - 2
                     while start >= 0:  # as far back as some piece may reach
-                        kind = tails.get(word[start:end])
+                        kind = tail(word[start:end])
                         if kind is None:
                             break
                         if kind:
@@ -136,7 +137,7 @@ class Encoder:
                     for start in reversed(whole):
                         piece = word[start:end]
                         ok = pairs.get((arcs[start], piece))
-                        if ok or ok is None and self.stands(arcs[start], piece):
+                        if ok or ok is None and stands(arcs[start], piece):
                             pick = piece
                             break
                 arcs.append(pick)
@@ -205,7 +206,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         # words and pairs stay known within the task; the encoder goes with it
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, SLICE):
                 own = texts[a:b]
                 ids, starts = encoder.encode(own)
                 back = encoder.decode(ids, starts)
