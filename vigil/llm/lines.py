@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone")
     rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
     text, lines = F.col("doc.text"), F.col("lines")
-    rows = rows.withColumn("lines", F.split(text, "\n"))  # once, not for each piece
+    # not deterministic, so that Spark writes it into no filter or lambda: once, not for each line
+    rows = rows.withColumn("lines", F.split(text, "\n", F.when(F.monotonically_increasing_id() < 0, 0).otherwise(-1)))
     rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")))
     kept = F.array_join(F.transform("left", lambda i: F.get(lines, i)), "\n")
     return rows.select(
