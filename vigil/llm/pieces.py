@@ -116,6 +116,7 @@ class Encoder:
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del arcs[shared + 1 :], best[shared + 1 :]
+            append = arcs.append
             for end in range(shared + 1, len(word) + 1):
                 pick = word[end - 1]
                 if self.unigram:
@@ -126,21 +127,23 @@ class Encoder:
                             top, pick = best[start] + scores[k], word[start:end]
                     best.append(top)
                 else:
-                    whole, start = [], end - 2
-                    while start >= 0:  # as far back as some piece may reach
-                        kind = tail(word[start:end])
+                    whole, start = (), end - 2
+                    while start >= 0:  # as far back as some piece may reach; the longest one comes to stand first
+                        piece = word[start:end]
+                        kind = tail(piece)
                         if kind is None:
                             break
                         if kind:
-                            whole.append(start)
+                            whole = (piece, start, whole)
                         start -= 1
-                    for start in reversed(whole):
-                        piece = word[start:end]
-                        ok = pairs.get((arcs[start], piece))
-                        if ok or ok is None and stands(arcs[start], piece):
+                    while whole:
+                        piece, start, whole = whole
+                        key = (arcs[start], piece)
+                        ok = pairs.get(key)
+                        if ok or ok is None and stands(*key):
                             pick = piece
                             break
-                arcs.append(pick)
+                append(pick)
             before = word
             found, end = [], len(word)
             while end:
