@@ -48,7 +48,9 @@ def _half_keys(w: str) -> Column:
 
 def exploded(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of each line that may have enough words to be judged."""
-    lines = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # hashed in a projection of its own: beside the generator Spark would hash the whole text again for each of its lines
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    lines = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where(F.length("line") >= 2 * LEAST_WORDS - 1)
 
 
