@@ -31,8 +31,11 @@ NEAR_WORDS = 4
 _BLANK = "[ \t\x0b\x0c\r]+"
 
 
-def line_words(line: Column | str) -> Column:
-    return F.array_remove(F.split(F.lower(line), _BLANK), "")
+def line_words(line: str) -> Column:
+    rare = [F.contains(F.col(line), F.lit(b)) for b in "\t\x0b\x0c\r"]
+    # a split at one plain sign needs no pattern, which most lines are spared
+    at_blanks = F.when(rare[0] | rare[1] | rare[2] | rare[3], F.split(F.lower(line), _BLANK)).otherwise(F.split(F.lower(line), " "))
+    return F.array_remove(at_blanks, "")
 
 
 def _half_keys(w: str) -> Column:
