@@ -1,0 +1,227 @@
+"""License scans, centroid clustering and spelling variants against brute force and on awkward tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vigil.llm import licenses, variants, yinyang
+
+DOCS = "doc_id long, text string"
+EXTRA = ["key", "w", "h", "n", "label", "run", "votes", "word", "depth", "heavy", "cluster", "v", "lower", "distance", "n_near", "k"]
+
+
+def frame(spark, rows, schema=DOCS, extra=False):
+    df = spark.createDataFrame(rows, schema)
+    for c in EXTRA if extra else []:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+# --- license scans ---
+def tokens(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def scan(text, templates):
+    """labels and score of one text: slow form of the module's definition."""
+    w, k, base, named, share = tokens(text), licenses.KGRAM, set(), set(), 0.0
+    places = []
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        places += at
+        if at:
+            base.add(label)
+    for label, t in {(x, tuple(tokens(t))) for x, t in templates}:
+        votes = Counter(i - j for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == list(t[j : j + k]))
+        runs = []
+        for d in sorted(votes):
+            if runs and d - runs[-1][-1] <= licenses.SLACK:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            if sum(votes[d] for d in run) < max(1, len(t) - k + 1 - k * (len(t) // licenses.MISSED)):
+                continue
+            covered = {j for d in run for j in range(len(t)) if 0 <= d + j < len(w) and w[d + j] == t[j]}
+            share = max(share, len(covered) / len(t))
+            if len(covered) >= len(t) - len(t) // licenses.MISSED:
+                named.add(label)
+    return len(w), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(base | named), 1.0 if places else share
+
+
+def license_texts():
+    r = random.Random(3)
+    mit, apache, bsd = (next(t for x, t in licenses.TEMPLATES if x == name and len(t) > 200) for name in ("mit", "apache", "bsd"))
+    changed, gap, put_in = bsd.split(" "), mit.split(" "), apache.split(" ")
+    for i in range(5, len(changed), 20):
+        changed[i] = "other"
+    del gap[30:33], gap[60]
+    put_in[20:20] = ["quite", "new", "words"]
+    filler = lambda n: " ".join(r.choice(["of", "the", "software", "and", "license", "this", "copy"]) for _ in range(n))
+    return [
+        None, "", " \n", "MIT", "the MIT-License and apache license", f"{filler(40)} {bsd} {filler(30)}", f"x {' '.join(changed)}", " ".join(gap), " ".join(put_in),
+        " ".join(changed[:40]), f"{mit} {apache} {mit}", "Licensed under CC BY-NC 4.0.", "licensed under cc by-sa 3.0", "licensed under cc by 4 1", filler(4000),
+        "general public license " * 50, "permission is hereby granted free of charge " * 300, "ΟΔΟΣ été license mit", "GENERAL PUBLIC\tLICENSE general public license",
+    ]
+
+
+def test_licenses_equal_brute_force(spark):
+    texts = license_texts()
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)] + [(5, texts[4]), (None, texts[5]), (3, texts[3])], extra=True)
+    got = sorted(
+        str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.found, r.labels, round(r.score, 9))) for r in licenses.scan(docs, licenses.template_table(spark)).collect()
+    )
+    want = []
+    for i, t in [*enumerate(texts), (5, texts[4]), (None, texts[5]), (3, texts[3])]:
+        *x, s = scan(t, licenses.TEMPLATES)
+        want.append(str((i, *x, round(s, 9))))
+    assert got == sorted(want)
+
+
+def test_license_found_by_the_method_alone(spark):
+    docs = frame(spark, list(enumerate(license_texts())))
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.template_table(spark)).collect()}
+    assert got[5].labels == ["bsd"] and got[6].labels == ["bsd"] and got[7].labels == ["mit"] and not got[5].found
+    assert got[9].labels == [] and got[9].score == 0 and got[13].labels == [] and got[11].labels == ["cc-by-nc"] and got[12].labels == ["cc-by-sa"]
+
+
+def test_license_spans_have_places(spark):
+    docs = frame(spark, [(1, "one two " + next(t for x, t in licenses.TEMPLATES if x == "isc") + " end")])
+    found = [r for r in licenses.spans(docs, licenses.template_table(spark)).collect() if r.is_license]
+    assert [(r.label, r["first"], r.share) for r in found] == [("isc", 2, 1.0)] and found[0]["last"] == 2 + len(tokens(dict(licenses.TEMPLATES)["isc"])) - 1
+
+
+def test_licenses_of_empty_tables_and_short_templates(spark):
+    assert licenses.scan(frame(spark, []), licenses.template_table(spark)).count() == 0
+    docs = frame(spark, [(1, "mit license bsd new")])
+    assert licenses.scan(docs, licenses.template_table(spark, [])).first().labels == ["mit"]
+    assert licenses.scan(docs, licenses.template_table(spark, [("bsd", "bsd new"), (None, "mit license bsd new")])).first().labels == ["mit"]
+
+
+# --- centroid clustering ---
+def lloyd(rows, k=16, rounds=3):
+    """rows: (vec_id, vector) that are kept. Python whole numbers throughout."""
+    made = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows]
+    start = sorted((hashlib.sha256(f"1:{'null' if i is None else i}".encode()).hexdigest(), v) for i, v in made)[:k]
+    cents = [list(v) for _, v in start]
+    for step in range(rounds + 1):
+        at = []
+        for _, v in made:
+            d = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in cents]
+            at.append((min(range(len(d)), key=lambda j: (d[j], j)), min(d)))
+        if step < rounds:
+            for c in range(len(cents)):
+                mine = [v for (_, v), (a, _) in zip(made, at) if a == c]
+                if mine:
+                    cents[c] = [sum(x) // len(mine) for x in zip(*mine)]
+    return [(i, a, d) for (i, _), (a, d) in zip(made, at)], cents
+
+
+def vectors(kind):
+    r = np.random.default_rng(4)
+    if kind == "blobs":
+        middle = r.normal(0, 1, (20, 64))
+        x = middle[r.integers(0, 20, 400)] + r.normal(0, 0.15, (400, 64))
+    elif kind == "ties":
+        x = r.integers(0, 2, (300, 64)) * np.array([1] * 3 + [0] * 61) / 64
+    else:
+        x = r.normal(0, 300_000, (200, 64))
+    return [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+
+
+@pytest.mark.parametrize("kind", ["blobs", "ties", "wide"])
+def test_yinyang_equals_lloyd(spark, kind):
+    rows = vectors(kind) + [(7, vectors(kind)[7][1]), (None, vectors(kind)[8][1])]
+    bad = [(900, None), (901, [1.0] * 63), (902, [1.0] * 65), (903, [float("nan")] * 64), (904, [float("inf")] + [0.0] * 63), (905, [None] + [0.0] * 63), (906, [])]
+    got, cents = yinyang.cluster(frame(spark, rows + bad, "vec_id long, embedding array<float>", extra=True))
+    want, centroids = lloyd(rows)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and cents.tolist() == centroids
+
+
+def test_yinyang_bounds_save_distances():
+    v = np.floor(64 * np.array([x for _, x in vectors("blobs")])).astype(np.int64)
+    old = v[:16].copy()
+    group = yinyang.grouped(old, 4)
+    at, upper, lower = yinyang.first_bounds(v, old, group)
+    cents = np.array([v[at == c].sum(0) // max(1, (at == c).sum()) for c in range(16)])
+    at, upper, lower, _ = yinyang.next_bounds(v, at, upper, lower, old, cents, group)
+    assert (at == yinyang.squared(v, cents).argmin(1)).all()
+    again = yinyang.next_bounds(v, at, upper, lower, cents, cents, group)
+    assert (again[0] == at).all() and again[3] < len(v) * 16 / 4
+    d = np.sqrt(yinyang.squared(v, cents).astype(float))
+    assert (again[1] >= d[np.arange(len(v)), at] * (1 - 1e-12)).all()
+    for g in range(group.max() + 1):
+        others = np.where((group == g)[None] & (np.arange(16)[None] != at[:, None]), d, np.inf).min(1)
+        assert (again[2][:, g] <= others).all()
+
+
+def test_yinyang_of_few_or_no_vectors(spark, tmp_path):
+    schema = "vec_id long, embedding array<float>"
+    assert yinyang.cluster(frame(spark, [], schema))[0].count() == 0
+    got, cents = yinyang.cluster(frame(spark, [(1, [0.5] * 64), (2, [-0.5] * 64)], schema))
+    assert len(cents) == 2 and {r.distance for r in got.collect()} == {0}
+    frame(spark, [], schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert yinyang.op12_yinyang(spark, str(tmp_path)).count() == 0
+    huge, _ = yinyang.cluster(frame(spark, [(1, [3e38] * 64), (2, [-3e38] * 64), (3, [0.0] * 64)], schema))
+    assert huge.count() == 3
+
+
+# --- spelling variants ---
+def variant_rows(docs, length=5, least=3):
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= length and n >= least}
+    letters = sorted({c for w in words for c in w})
+    out, form = [], {}
+    near = {}
+    for w, n in words.items():
+        made = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near[w] = sorted((x for x in made if x in words and x != w), key=lambda x: (-words[x], x))
+        if near[w] and words[near[w][0]] >= 2 * n:
+            form[w] = near[w][0]
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), words[form[w]] if w in form else None))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdeé×Ä", "a"])
+def test_variants_equal_brute_force(spark, letters):
+    r = random.Random(11)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(5, 8))) for _ in range(150)] + ["a" * k for k in range(4, 12)]
+    docs = [(i, " ".join(r.choice(words[: 1 + int(len(words) * r.random() ** 2)]).title() for _ in range(60)) + "\n1,two") for i in range(60)]
+    docs += [(None, docs[0][1]), (3, docs[3][1]), (70, None), (71, ""), (72, "aaaaa " * 5000)]
+    got = sorted(str(tuple(x)) for x in variants.variant_groups(frame(spark, docs, extra=True)).collect())
+    assert got == variant_rows(docs)
+
+
+def test_variants_follow_chains_and_empty_tables(spark):
+    text = " ".join(w for k, w in enumerate(["aaaab", "aaabb", "aabbb", "abbbb", "bbbbb", "bbbbbb"]) for _ in range(3 * 2**k))
+    docs = [(5, text)]
+    got = sorted(str(tuple(x)) for x in variants.variant_groups(frame(spark, docs)).collect())
+    assert got == variant_rows(docs) and all("'bbbbbb'" in x for x in got)
+    assert variants.variant_groups(frame(spark, [])).count() == 0 and variants.variant_groups(frame(spark, [(1, "abc abc abc")])).count() == 0
+
+
+def test_light_edges_are_few(spark):
+    r = random.Random(1)
+    words = [("".join(r.choice("abc") for _ in range(8)), 3) for _ in range(2000)]
+    df = spark.createDataFrame(sorted(set(words)), "word string, n long")
+    most = variants.light_edges(df).where("depth < length(word)").groupBy("word").count().agg(F.max("count")).first()[0]
+    assert most <= math.log2(len(set(words)))

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_licenses": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
 }
 
 

@@ -15,6 +15,9 @@ _WHERE = {
     "op8_sharding": "sharding",
     "op9_pii": "pii",
     "op10_language_id": "language",
+    "op11_licenses": "licenses",
+    "op12_yinyang": "yinyang",
+    "op13_spelling_variants": "variants",
 }
 
 
