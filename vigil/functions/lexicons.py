@@ -202,3 +202,47 @@ AUTHORITY_SECTION = {
 }
 RESOLVED_WORDS = ["fine of", "penalty of", "imposed a penalty", "ordered to pay", "dismissed", "closed the", "settled", "banned", "barred"]
 EXTRACTED_MONEY = r"(?i)(?:₹|rs\.?|inr)\s?[\d,]+(?:\.\d+)?\s?(?:lakh|crore|cr|million|bn|billion)?|[\d,]+(?:\.\d+)?\s?(?:lakh|crore|million|billion)"
+
+# canonical entities and the variants seen of them
+ALIAS_SEEDS = {
+    "Meta Platforms": ["meta", "facebook", "whatsapp meta", "whatsapp", "meta india", "facebook india", "whatsapp llc"],
+    "Reserve Bank of India": ["rbi", "reserve bank"],
+    "Competition Commission of India": ["cci"],
+    "Ministry of Electronics and Information Technology": ["meity", "ministry of electronics", "ministry of electronics and it"],
+    "CERT-In": ["cert in", "certin", "indian computer emergency response team"],
+    "Securities and Exchange Board of India": ["sebi"],
+    "Insurance Regulatory and Development Authority of India": ["irdai", "irda"],
+    "Telecom Regulatory Authority of India": ["trai"],
+    "Unique Identification Authority of India": ["uidai", "aadhaar authority"],
+    "Data Protection Board of India": ["dpb", "dpbi", "data protection board"],
+    "Supreme Court of India": ["supreme court", "sci", "hon'ble supreme court"],
+    "Irish Data Protection Commission": ["irish dpc", "dpc ireland", "data protection commission"],
+    "Star Health and Allied Insurance": ["star health", "star health allied insurance"],
+    "American Express": ["amex", "american express diners club", "diners club"],
+    "Mastercard": ["mastercard incorporated", "master card"],
+    "LinkedIn": ["linkedin ireland", "linkedin corporation"],
+}
+
+# the act's sections: number, title, chapter
+STATUTE_SECTIONS = {
+    "3": ("Application of the Act", "I — Preliminary"),
+    "4": ("Grounds for processing personal data", "II — Obligations"),
+    "5": ("Notice", "II — Obligations"),
+    "6": ("Consent", "II — Obligations"),
+    "7": ("Certain legitimate uses", "II — Obligations"),
+    "8": ("General obligations of a Data Fiduciary", "II — Obligations"),
+    "9": ("Processing of personal data of children", "II — Obligations"),
+    "10": ("Additional obligations of Significant Data Fiduciaries", "II — Obligations"),
+    "11": ("Right to access information", "III — Rights"),
+    "12": ("Right to correction and erasure", "III — Rights"),
+    "13": ("Right of grievance redressal", "III — Rights"),
+    "14": ("Right to nominate", "III — Rights"),
+    "15": ("Duties of a Data Principal", "III — Rights"),
+    "16": ("Processing personal data outside India", "IV — Transfers"),
+    "17": ("Exemptions", "IV — Transfers"),
+    "27": ("Powers and functions of the Board", "V — Data Protection Board"),
+    "33": ("Penalties and adjudication", "VII — Penalties"),
+}
+
+# words of company names that identify none
+GENERIC_NAME_WORDS = ["india", "indian", "limited", "ltd", "private", "pvt", "bank", "commission", "authority", "ministry", "board", "court", "of", "and", "the", "insurance", "financial", "services", "data"]

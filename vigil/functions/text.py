@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,14 +72,26 @@ def cluster_key(company: Text, authority: Text, date: Text, amount: Text) -> Col
     return F.concat_ws("|", name_key(company), F.left(F.lower(F.trim(filled(authority))), F.lit(12)), F.left(filled(date), F.lit(7)), lakh)
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+@cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of a sign in ASCII: of those that give one sign, and of those that give more."""
+    made = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000}
+    return {c: a for c, a in made.items() if len(a) == 1}, {c: a for c, a in made.items() if len(a) > 1}
+
+
+def ascii_fold(text: Text) -> Column:
+    """Signs as their compatibility decomposition without what is not ASCII."""
+    one, many = _foldings()
+    ligatures = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    apart = F.array_join(F.transform(F.split(filled(text), ""), lambda c: F.coalesce(F.try_element_at(ligatures, c), c)), "")
+    text_ = F.when(filled(text).rlike(f"[{''.join(many)}]"), apart).otherwise(filled(text))
+    plain = F.regexp_replace(F.translate(text_, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(filled(text).rlike(r"[^\x00-\x7F]"), plain).otherwise(filled(text))
 
 
 def slug(text: Text, words: int = 6) -> Column:
-    """Latin letters without accents; other signs separate; stop words go."""
-    plain = F.translate(F.lower(filled(text)), _ACCENTED, _PLAIN)
-    parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^a-z0-9]+", " ")), " ")
+    """Letters without accents and in compatible form; other signs separate; stop words go."""
+    parts = F.split(F.trim(F.regexp_replace(F.lower(ascii_fold(text)), "[^a-z0-9]+", " ")), " ")
     kept = F.filter(parts, lambda w: (w != "") & ~F.array_contains(strings(L.SLUG_STOP), w))
     return F.coalesce(F.nullif(F.array_join(F.slice(kept, 1, words), "-"), F.lit("")), F.lit("case"))
 
@@ -163,8 +176,9 @@ def headline(title: Text) -> Column:
 
 
 def citations(text: Text) -> Column:
-    """Section numbers of the act that a reference points at; none of other statutes."""
+    """Numbers of the act's listed sections that a reference points at; none of other statutes."""
     low = F.lower(filled(text))
     own = F.contains(low, F.lit("dpdp")) | F.contains(low, F.lit("digital personal data"))
     found = F.array_distinct(F.regexp_extract_all(filled(text), F.lit(L.SECTION_REFERENCE), F.lit(1)))
-    return F.when(own | ~any_of(low, L.OTHER_STATUTES), found).otherwise(F.array().cast("array<string>"))
+    listed = F.filter(found, lambda n: F.array_contains(strings(list(L.STATUTE_SECTIONS)), n))
+    return F.when(own | ~any_of(low, L.OTHER_STATUTES), listed).otherwise(F.array().cast("array<string>"))

@@ -36,13 +36,33 @@ def origin(url: Text) -> Column:
     return F.regexp_extract(filled(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` steps; steps above the root go."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == ".", out).when(s == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(s))),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
 def absolute(base: Text, href: Text) -> Column:
-    """A link joined to its page: absolute, scheme-relative, rooted or relative to the page's folder."""
-    folder = F.regexp_replace(F.regexp_replace(filled(base), r"[?#].*$", ""), r"([^/:])/[^/]*$", "$1/")
-    h = F.trim(filled(href))
+    """A link joined to its page: absolute, scheme-relative, rooted, relative to the page's folder (with ../), a query or a fragment alone; empty: the page."""
+    b, h = filled(base), F.trim(filled(href))
+    page = F.regexp_replace(b, r"[?#].*$", "")
+    bare = F.regexp_replace(b, "#.*$", "")
+    top = origin(base)
+    path = F.regexp_replace(F.substring(page, F.length(top) + 1, F.length(page)), r"[^/]*$", "")
+    own, rest = F.regexp_extract(h, r"^([^?#]*)", 1), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    joined = lambda p: F.concat(top, without_dots(p), rest)
     return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(filled(base), r"^([^:]+:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .otherwise(F.concat(folder, h))
+        F.when(h == "", b)
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([^:]+:)", 1), h))
+        .when(h.startswith("#"), F.concat(bare, h))
+        .when(h.startswith("?"), F.concat(page, h))
+        .when(h.startswith("/"), joined(own))
+        .otherwise(joined(F.concat(F.when(path == "", "/").otherwise(path), own)))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, urls
 from ..functions import lexicons as L
 from ..functions import text as T
-from . import verification
+from . import clustering, verification
 
 DEFAULTS = {"date": "", "authority": "", "company": "", "sector": "Other", "violation_type": "", "dpdpa_section": "", "summary": "", "penalty_amount": "", "outcome": "", "source_url": "", "official_source_url": "", "trust_tier": "", "slug": ""}
 NO_SOURCES = "array<struct<url:string,name:string,is_primary:boolean>>"
@@ -44,21 +44,28 @@ def title(company: str, authority: str, date: str) -> Column:
 
 
 def events(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Rows as events: normal date, tier, sources, primary source, title, year, section label and path. rows: id, company, authority, date, ... , listed."""
+    """Rows as events: normal date, tier, sources, primary source, title, year, section label, slug and path. rows: id, company, authority, date, ... , listed.
+
+    Slugs are distinct: a stored one (column `slug`, if there is one) stays, the others are numbered in order of arrival_idx.
+    """
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     out = rows.withColumn("date", dates.normalize_date("date")).withColumn("sources", collect_sources(F.col("official_source_url"), F.col("listed"), F.col("source_url")))
     tier = verification.tier("stored_tier", "official_source_url", "source_url")
     listed = F.when((tier == "ai") & (F.size("sources") > 0), "press").otherwise(tier)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "trust_tier": listed,
             "primary_url": primary_source(F.col("sources"))["url"],
             "title": title("company", "authority", "date"),
             "year": F.left("date", F.lit(4)),
             "section_label": F.coalesce(F.try_element_at(label, F.col("section")), F.lit("Enforcement")),
-            "slug": T.case_slug("company", "authority", "date"),
+            "_base": T.case_slug("company", "authority", "date"),
+            "_stored": F.col("slug") if "slug" in rows.columns else F.lit(None).cast("string"),
+            "updated_at": F.left(F.col("updated_at").cast("string"), F.lit(10)) if "updated_at" in rows.columns else F.lit(""),
         }
-    ).withColumn("url_path", F.concat(F.lit("enforcement/"), "slug"))
+    )
+    out = clustering.unique_slugs(out.drop("slug"), "_base", "arrival_idx", "_stored" if "slug" in rows.columns else None).drop("_base", "_stored")
+    return out.withColumn("url_path", F.concat(F.lit("enforcement/"), "slug"))
 
 
 def csv_rows(found: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions import lexicons as L
 from ..functions import money
 from ..functions import text as T
 
+BLOCK = 1000
+
 
 def alias_join(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """names (name) joined to aliases (alias_key, entity) on the normalised name."""
@@ -60,15 +62,21 @@ def rollup(cases: DataFrame) -> DataFrame:
     )
 
 
-def related_entities(links: DataFrame, most: int = 12) -> DataFrame:
-    """Entities that share an event, by how many, then name; `most` of each. links: (event_id, entity).
+def related_entities(links: DataFrame, most: int = 12, first_seen: DataFrame | None = None) -> DataFrame:
+    """Entities that share an event, by how many, then as first seen if (entity, first_seen) is given, else by name; `most` of each. links: (event_id, entity).
 
-    Shared counts come from a join on the event; events are small groups by nature.
+    An event of very many entities is dealt out in blocks of BLOCK: every block meets every other one in a task of its own.
     """
     x = links.select("event_id", "entity").distinct()
-    both = x.join(x.withColumnRenamed("entity", "related"), "event_id").where("entity <> related").groupBy("entity", "related").agg(F.count(F.lit(1)).alias("shared"))
-    w = Window.partitionBy("entity").orderBy(F.desc("shared"), "related")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    block = F.pmod(F.xxhash64("entity"), F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK)))
+    sized = x.join(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("k")), "event_id").withColumns({"block": block, "blocks": F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK))})
+    left = sized.select("event_id", "entity", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    right = sized.select("event_id", F.col("entity").alias("related"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    both = left.join(right, ["event_id", "block", "other"]).where("entity <> related").groupBy("entity", "related").agg(F.count(F.lit(1)).alias("shared"))
+    if first_seen is not None:
+        both = both.join(first_seen.select(F.col("entity").alias("related"), "first_seen"), "related")
+    w = Window.partitionBy("entity").orderBy(F.desc("shared"), *(["first_seen"] if first_seen is not None else []), "related")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("entity", "related", "shared", "rank")
 
 
 def contradictions(claims: DataFrame) -> DataFrame:

@@ -18,12 +18,14 @@ def brief(cases: DataFrame, period: str) -> DataFrame:
     return total.crossJoin(top).select(F.lit(period).alias("period"), body.alias("body"))
 
 
-def tracked_terms(entities: DataFrame, generic: list[str] | None = None) -> DataFrame:
-    """(term): of each name the whole of four signs or more, its first distinctive token and its first two."""
-    toks = F.filter(F.split(T.entity_key("name"), " "), lambda t: (F.length(t) >= 4) & ~F.array_contains(T.strings(generic or lexicons.WEAK_TOKENS), t))
-    whole = F.lower(F.trim("name"))
-    terms = F.array(F.when(F.length(whole) >= 4, whole), F.get(toks, F.lit(0)), F.when(F.size(toks) >= 2, F.array_join(F.slice(toks, 1, 2), " ")))
-    return entities.select(F.explode(F.array_compact(terms)).alias("term")).distinct()
+def tracked_terms(entities: DataFrame, order: str, most: int = 60) -> DataFrame:
+    """(term) of the first `most` entities (name, aliases): each name and alias of four signs or more, its first word that identifies, and the first two."""
+    few = entities.where(F.trim(T.filled("name")) != "").orderBy(order).limit(most)
+    said = few.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("v")).select(F.lower(F.trim("v")).alias("v"))
+    words = F.filter(F.split(T.squeeze(F.regexp_replace("v", "[/-]", " ")), " "), lambda t: (F.length(t) >= 4) & ~F.array_contains(T.strings(lexicons.GENERIC_NAME_WORDS), t))
+    both = said.select("v", words.alias("w"))
+    terms = F.array(F.col("v"), F.get("w", F.lit(0)), F.when(F.size("w") >= 2, F.array_join(F.slice("w", 1, 2), " ")))
+    return both.select(F.explode(F.array_compact(terms)).alias("term")).where(F.length("term") >= 4).distinct()
 
 
 def calendar(curated: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:

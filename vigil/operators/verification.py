@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
+from ..functions import lexicons as L
 from ..functions import text as T
 
 
@@ -110,11 +111,21 @@ def evidence_rows(verified: DataFrame, cap: int = 10) -> DataFrame:
 
 
 def resolution_patch(cases: DataFrame, results: DataFrame, words: list[str]) -> DataFrame:
-    """The cases checked, with outcome and notes changed where search results speak of a resolution. results: (id, snippet), one row a case.
+    """The cases checked, with outcome, notes and official URL changed where search results speak of a resolution. results: (id, rank, title, summary, url), few a case.
 
-    Every checked case is stamped; those without results keep what they have.
+    Titles and summaries of a case are read together, 2,500 signs of them; the official URL is the first result's of a trusted domain, or empty.
+    Every checked case is stamped; those without a resolution keep what they have.
     """
-    low = F.lower(F.left(T.filled("snippet"), F.lit(2500)))
-    hit = T.any_of(low, words)
-    rows = cases.join(results, "id", "left")
-    return rows.select("id", F.when(hit, "Fine Imposed").otherwise(F.col("outcome")).alias("outcome"), F.when(hit, "Auto-flagged possible resolution — verify.").otherwise("").alias("notes"), F.lit(True).alias("stamped"))
+    trusted = T.any_of(T.filled("url"), L.TRUSTED_DOMAINS)
+    said = F.struct("rank", F.concat_ws(" ", T.filled("title"), T.filled("summary")).alias("said"))
+    found = results.groupBy("id").agg(F.array_sort(F.collect_list(said)).alias("said"), F.min_by(F.when(trusted, F.col("url")), F.when(trusted, F.col("rank"))).alias("official"))
+    low = F.lower(F.left(F.array_join(F.transform("said", lambda x: x["said"]), " "), F.lit(2500)))
+    hit = F.coalesce(T.any_of(low, words), F.lit(False))
+    changed = lambda new, old: F.when(hit, new).otherwise(old)
+    return cases.join(found, "id", "left").select(
+        "id",
+        changed(F.lit("Fine Imposed"), F.col("outcome")).alias("outcome"),
+        changed(F.lit("Auto-flagged possible resolution — verify."), F.lit("")).alias("notes"),
+        changed(T.filled("official"), F.col("official_source_url")).alias("official_source_url"),
+        F.lit(True).alias("stamped"),
+    )

@@ -225,6 +225,16 @@ def _(spark, sf):
     )
 
 
+# letters that fold apart or to ASCII only in compatible form stand in front of each text
+_ODD = "Łódź Şirket İş ﬁne № Ａ "
+
+
+@query("slug_folding", f"SELECT doc_id, CASE WHEN text IS NULL THEN 'case' ELSE coalesce(nullif(array_to_string(list_filter(string_split(trim(regexp_replace(lower(regexp_replace(concat('odz Sirket Is fine No A ', strip_accents(text)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({lst(L.SLUG_STOP)}))[1:40], '-'), ''), 'case') END AS slug FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.when(F.col("text").isNull(), "case").otherwise(T.slug(F.concat(F.lit(_ODD), "text"), 40)).alias("slug"))
+
+
 @query("html_visible_text", f"SELECT page_id, left({sq(_BARE)}, 5000) AS text FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(T.visible_text("html"), F.lit(5000)).alias("text"))
@@ -486,7 +496,7 @@ def _(spark, sf):
 
 
 _OTHER = anyof("lower(dpdpa_section)", L.OTHER_STATUTES)
-_CITED = f"""(SELECT DISTINCT id, unnest(regexp_extract_all(dpdpa_section, '{L.SECTION_REFERENCE}', 1)) AS number FROM cases WHERE contains(lower(dpdpa_section), 'dpdp') OR NOT {_OTHER})"""
+_CITED = f"""(SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(dpdpa_section, '{L.SECTION_REFERENCE}', 1), lambda n: n IN ({lst(list(L.STATUTE_SECTIONS))}))) AS number FROM cases WHERE contains(lower(dpdpa_section), 'dpdp') OR NOT {_OTHER})"""
 
 
 @query("statute_citations", f"SELECT id, number FROM {_CITED}")

@@ -15,6 +15,8 @@ LABELS = {"dpdpa_board": "Board", "cert_in_breach": "Breach", "courts_case_law":
 
 def listed(spark, sf):
     c = view(spark, sf, "cases")
+    # every tenth case has a slug from an earlier run
+    c = c.withColumn("slug", F.when(F.col("id") % 10 == 0, F.concat(F.lit("kept-"), F.col("id").cast("string"))))
     return c.withColumn("listed", F.array(F.struct(F.lit("paper").alias("source"), F.col("source_url").alias("url")), F.struct(F.lit("again").alias("source"), F.col("official_source_url").alias("url"))))
 
 
@@ -26,10 +28,13 @@ def _(spark, sf):
 
 _TITLE = "concat_ws(' — ', nullif(company, ''), CASE WHEN authority <> '' AND lower(authority) <> 'unknown' THEN authority END, nullif(left(date, 4), ''))"
 _URLS = "CASE WHEN official_source_url <> '' THEN [official_source_url, source_url] ELSE [source_url] END"
+# of a base the first case in order of arrival has it as it is, the others their number; stored slugs stay
+_NUMBER = f"row_number() OVER (PARTITION BY id % 10 = 0, {SLUG} ORDER BY arrival_idx)"
+_PATH = f"concat('enforcement/', CASE WHEN id % 10 = 0 THEN concat('kept-', id) WHEN {_NUMBER} = 1 THEN {SLUG} ELSE concat({SLUG}, '-', {_NUMBER}) END)"
 _LABEL = "CASE section " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE 'Enforcement' END"
 
 
-@query("event_model", f"SELECT id, date, {TIER} AS trust_tier, CAST(len({_URLS}) AS INT) AS n_sources, ({_URLS})[1] AS primary_url, {_TITLE} AS title, left(date, 4) AS year, {_LABEL} AS section_label, concat('enforcement/', {SLUG}) AS url_path FROM cases")
+@query("event_model", f"SELECT id, date, {TIER} AS trust_tier, CAST(len({_URLS}) AS INT) AS n_sources, ({_URLS})[1] AS primary_url, {_TITLE} AS title, left(date, 4) AS year, {_LABEL} AS section_label, {_PATH} AS url_path FROM cases")
 def _(spark, sf):
     return events.events(listed(spark, sf), LABELS).select("id", "date", "trust_tier", F.size("sources").alias("n_sources"), "primary_url", "title", "year", "section_label", "url_path")
 
@@ -42,13 +47,13 @@ def _(spark, sf):
 
 @query(
     "csv_events",
-    f"SELECT id, date, section, authority, company, sector, violation_type, dpdpa_section, penalty_amount, penalty_amount_inr, outcome, {TIER} AS trust_tier, source_url, array_to_string({_URLS}, ' | ') AS sources, concat('enforcement/', {SLUG}) AS url_path FROM cases",
+    f"SELECT id, date, section, authority, company, sector, violation_type, dpdpa_section, penalty_amount, penalty_amount_inr, outcome, {TIER} AS trust_tier, source_url, array_to_string({_URLS}, ' | ') AS sources, {_PATH} AS url_path FROM cases",
 )
 def _(spark, sf):
     return events.csv_rows(events.events(listed(spark, sf), LABELS))
 
 
-@query("llms_lines", f"SELECT concat('- [', {_TITLE}, '](https://base.example/enforcement/', {SLUG}, ')') AS value FROM cases")
+@query("llms_lines", f"SELECT concat('- [', {_TITLE}, '](https://base.example/', {_PATH}, ')') AS value FROM cases")
 def _(spark, sf):
     return reports.llms_lines(events.events(listed(spark, sf), LABELS), "https://base.example")
 
@@ -135,13 +140,22 @@ def _(spark, sf):
     return verified_cases(spark, sf).select("id", verification.publishable(True).alias("publish"))
 
 
-_SNIP = "CASE id % 5 WHEN 0 THEN 'The regulator imposed a penalty on the firm' WHEN 1 THEN 'The matter was Settled in March' WHEN 2 THEN 'No news' END"
+# a case has up to three results; the words may stand in any of them, and past 2,500 signs they count no more
+_FOUND = """(SELECT id, k AS rank, CASE WHEN (id + k) % 5 = 0 THEN 'The regulator imposed a penalty on the firm' WHEN (id + k) % 7 = 0 THEN concat(repeat('no news ', 330), 'and the matter was settled') ELSE 'Nothing new' END AS title,
+  concat('Report ', k) AS summary, CASE WHEN k = id % 3 THEN concat('https://www.rbi.org.in/', id) ELSE concat('https://blog.example/', k) END AS url FROM cases, (SELECT unnest([0, 1, 2]) AS k) WHERE id % 4 > k)"""
 
 
-@query("reverify_patch", f"SELECT id, CASE WHEN h THEN 'Fine Imposed' ELSE outcome END AS outcome, CASE WHEN h THEN 'Auto-flagged possible resolution — verify.' ELSE '' END AS notes, true AS stamped FROM (SELECT id, outcome, coalesce({anyof('lower(' + _SNIP + ')', L.RESOLVED_WORDS)}, false) AS h FROM cases WHERE outcome IN ('Investigation Ongoing', 'Consultation'))")
+@query(
+    "reverify_patch",
+    f"""SELECT id, CASE WHEN h THEN 'Fine Imposed' ELSE outcome END AS outcome, CASE WHEN h THEN 'Auto-flagged possible resolution — verify.' ELSE '' END AS notes, CASE WHEN h THEN coalesce(official, '') ELSE official_source_url END AS official_source_url, true AS stamped
+  FROM (SELECT c.id, outcome, official_source_url, official, coalesce({anyof('low', L.RESOLVED_WORDS)}, false) AS h FROM cases c LEFT JOIN
+  (SELECT id, lower(left(string_agg(concat(title, ' ', summary), ' ' ORDER BY rank), 2500)) AS low, min_by(url, rank) FILTER ({anyof('url', L.TRUSTED_DOMAINS)}) AS official FROM {_FOUND} GROUP BY id) r ON c.id = r.id WHERE outcome IN ('Investigation Ongoing', 'Consultation'))""",
+)
 def _(spark, sf):
-    c = view(spark, sf, "cases").where(F.col("outcome").isin(L.OPEN_OUTCOMES)).select("id", "outcome")
-    found = c.select("id", F.expr(_SNIP).alias("snippet")).where("snippet IS NOT NULL")
+    c = view(spark, sf, "cases").where(F.col("outcome").isin(L.OPEN_OUTCOMES)).select("id", "outcome", "official_source_url")
+    hit = F.when((F.col("id") + F.col("rank")) % 5 == 0, "The regulator imposed a penalty on the firm").when((F.col("id") + F.col("rank")) % 7 == 0, F.concat(F.repeat(F.lit("no news "), 330), F.lit("and the matter was settled"))).otherwise("Nothing new")
+    found = c.select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("rank")).where("id % 4 > rank").withColumns({"title": hit, "summary": F.concat(F.lit("Report "), F.col("rank").cast("string"))})
+    found = found.withColumn("url", F.when(F.col("rank") == F.col("id") % 3, F.concat(F.lit("https://www.rbi.org.in/"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("https://blog.example/"), F.col("rank").cast("string"))))
     return verification.resolution_patch(c, found, L.RESOLVED_WORDS)
 
 
@@ -331,9 +345,14 @@ def _(spark, sf):
     return insights.alert_payload(view(spark, sf, "stories"))
 
 
-@query("tracked_terms", f"SELECT DISTINCT term FROM (SELECT DISTINCT lower(trim(company)) AS term FROM cases WHERE length(trim(company)) >= 4 UNION ALL SELECT t[1] FROM (SELECT list_filter(string_split({entity_sql('company')}, ' '), lambda w: len(w) >= 4 AND w NOT IN ({lst(L.WEAK_TOKENS)})) AS t FROM cases) WHERE len(t) > 0 UNION ALL SELECT concat(t[1], ' ', t[2]) FROM (SELECT list_filter(string_split({entity_sql('company')}, ' '), lambda w: len(w) >= 4 AND w NOT IN ({lst(L.WEAK_TOKENS)})) AS t FROM cases) WHERE len(t) > 1)")
+_LISTED = f"(SELECT lower(trim(unnest([company, concat(authority, '/', sector)]))) AS v FROM (SELECT * FROM cases WHERE trim(company) <> '' ORDER BY arrival_idx LIMIT 60))"
+_KEPT = f"list_filter(regexp_split_to_array(trim(regexp_replace(v, '[/\\s-]+', ' ', 'g')), ' '), lambda w: len(w) >= 4 AND w NOT IN ({lst(L.GENERIC_NAME_WORDS)}))"
+
+
+@query("tracked_terms", f"SELECT DISTINCT term FROM (SELECT v AS term FROM {_LISTED} UNION ALL SELECT t[1] FROM (SELECT {_KEPT} AS t FROM {_LISTED}) UNION ALL SELECT concat(t[1], ' ', t[2]) FROM (SELECT {_KEPT} AS t FROM {_LISTED}) WHERE len(t) > 1) WHERE len(term) >= 4")
 def _(spark, sf):
-    return insights.tracked_terms(view(spark, sf, "cases").select(F.col("company").alias("name")))
+    c = view(spark, sf, "cases").select(F.col("company").alias("name"), F.array(F.concat("authority", F.lit("/"), "sector")).alias("aliases"), "arrival_idx")
+    return insights.tracked_terms(c, "arrival_idx")
 
 
 @query("calendar", f"SELECT date, title, curated, CAST(datediff('day', DATE '1998-01-01', CAST(date AS DATE)) AS INT) AS days_away FROM (SELECT date, company AS title, true AS curated FROM cases WHERE id % 50 = 0 UNION ALL SELECT date, company, false FROM cases WHERE id % 50 <> 0 AND date NOT IN (SELECT date FROM cases WHERE id % 50 = 0))")

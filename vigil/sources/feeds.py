@@ -46,9 +46,10 @@ def unseen(items: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, health: DataFrame) -> DataFrame:
-    """The primary sensor's items and, for sources that are blocked, failed or empty, the fallback's without its claims of origin."""
+    """The primary sensor's items and, for sources that are blocked, failed or empty, the fallback's without its claims of origin, domain included."""
     bad = health.where(F.col("status").isin("blocked", "error", "empty")).select("source")
-    spare = fallback.join(bad, "source", "left_semi").withColumns({"is_primary": F.lit(False), "always_relevant": F.lit(False)})
+    claims = {"is_primary": F.lit(False), "always_relevant": F.lit(False)} | ({"domain": F.lit("")} if "domain" in fallback.columns else {})
+    spare = fallback.join(bad, "source", "left_semi").withColumns(claims)
     return primary.unionByName(spare, allowMissingColumns=True)
 
 
