@@ -39,8 +39,8 @@ def test_fallback(spark):
 
 
 def test_insights(spark):
-    names = spark.createDataFrame([("Acme Robotics Pvt Ltd",), ("Bank of India",)], "name string")
-    assert {r.term for r in insights.tracked_terms(names).collect()} == {"acme robotics pvt ltd", "acme", "acme robotics", "bank of india"}
+    names = spark.createDataFrame([(1, "Acme Robotics Pvt Ltd", ["Data-Acme/Labs"]), (2, "Bank of India", None), (3, "Later Firm", None)], "at int, name string, aliases array<string>")
+    assert {r.term for r in insights.tracked_terms(names, "at", 2).collect()} == {"acme robotics pvt ltd", "acme", "acme robotics", "data-acme/labs", "acme labs", "bank of india"}
     files = spark.createDataFrame([("u", "User-agent: *\nDisallow: /x\nSitemap: y")], "url string, body string")
     r = insights.robots(files).first()
     assert (r.agents, r.disallowed, r.sitemap) == (["*"], ["/x"], True)
