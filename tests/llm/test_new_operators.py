@@ -225,3 +225,38 @@ def test_light_edges_are_few(spark):
     df = spark.createDataFrame(sorted(set(words)), "word string, n long")
     most = variants.light_edges(df).where("depth < length(word)").groupBy("word").count().agg(F.max("count")).first()[0]
     assert most <= math.log2(len(set(words)))
+
+
+# --- bounds of earlier operators ---
+def test_known_words_are_bounded_for_texts_without_spaces():
+    from vigil.llm import pieces
+
+    encoder = pieces.Encoder.load(pieces.default_model())
+    r = random.Random(6)
+    text = lambda: "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(3000))
+    texts = [text() for _ in range(40)] + ["plain words between", "plain " + text()]
+    ids, starts = encoder.encode(texts)
+    assert len(encoder.known) < 20 and len(encoder.pool) < 200
+    back = encoder.decode(ids, starts)
+    assert [b.decode() for b in back] == texts
+    again, at = encoder.encode(texts[-2:])
+    assert list(again) == list(ids[starts[-3] :]) and list(np.diff(at)) == list(np.diff(starts)[-2:])
+
+
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    from vigil.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 5000)
+    encoder = pieces.Encoder.load(pieces.default_model())
+    for k in range(30):
+        encoder.encode([" ".join(f"word{k}x{j}" for j in range(20))])
+        assert len(encoder.known) < 120
+
+
+def test_lowest_of_many_repeats(spark):
+    from vigil.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), (F.col("id") % 2).cast("string").alias("y"))
+    got = {(x.y, x.doc_id) for x in common.lowest(rows, "y", 20, 2).collect()}
+    every = sorted({(x.y, x.h, x.doc_id) for x in rows.withColumn("h", F.xxhash64("doc_id")).collect()})
+    assert got == {(y, d) for v in "01" for y, _, d in [e for e in every if e[0] == v][:20]}

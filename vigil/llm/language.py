@@ -1,7 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Trained by follow-the-regularised-leader with elastic-net penalties on at most SAMPLE documents of each language (lowest id
-hash; texts of more than common.TRAIN_CHARS signs take no part in training, nor does what is beyond SAMPLE * MOST_LANGUAGES rows), then calibrated with one temperature on a part of them that training leaves out. Every document is scored over its
+hash; texts of more than common.TRAIN_CHARS signs take no part in training; of more than ten languages each has its
+share of SAMPLE_IN_ALL documents, and past MOST_LANGUAGES those last in the alphabet are not learnt), then calibrated with one temperature on a part of them that training leaves out. Every document is scored over its
 whole text.
 
 Defined results: null text or no letter: `und`, score 0. No usable training row: `und` everywhere. A null doc_id counts as
@@ -23,6 +24,7 @@ ORDERS = 3
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-2, 1e-4
 MOST_LANGUAGES = 500
+SAMPLE_IN_ALL = 6000
 _SHIFT = np.uint32(32 - 14)
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 # letters as they are, everything else a space
@@ -123,13 +125,15 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
     rows = docs.where(F.col("lang").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
+    languages = min(MOST_LANGUAGES, rows.agg(F.approx_count_distinct("lang").alias("n")).first()["n"])
+    sample = max(1, min(sample, SAMPLE_IN_ALL // max(1, languages)))
     chosen = common.lowest(rows.select("doc_id", "lang"), "lang", sample, MOST_LANGUAGES).select("doc_id").distinct()
     found = (
         rows.where(F.col("text").isNotNull() & (F.length("text") <= common.TRAIN_CHARS))
         .select("doc_id", "lang", "text")
         .join(F.broadcast(chosen), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "text")
-        .limit(sample * MOST_LANGUAGES)
+        .limit(SAMPLE_IN_ALL)
         .select("lang", "text")
         .collect()
     )

@@ -30,6 +30,8 @@ from . import common
 
 MARK = "▁"
 CACHE_WORDS = 400_000
+CACHE_BYTES = 96 << 20  # of known words and their ids, about
+LONGEST_KNOWN = 64  # longer words (texts without spaces) are encoded anew in each slice and not kept
 CACHE_PAIRS = 400_000
 SLICE = 1 << 21  # signs encoded at once: more words sorted together share more prefixes
 
@@ -64,9 +66,10 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.held = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "pool": np.zeros(0, np.int32), "pool_at": np.zeros(1, np.int64), "pairs": {}}
+        return self.__dict__ | {"known": {}, "pool": np.zeros(0, np.int32), "pool_at": np.zeros(1, np.int64), "pairs": {}, "held": 0}
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -165,7 +168,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and where each text's begin."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.clear()
         words: list[str] = []
         ends = [0]
@@ -173,15 +176,28 @@ class Encoder:
             words += self.words(t)
             ends.append(len(words))
         new = sorted(set(words).difference(self.known))
+        short = [w for w in new if len(w) <= LONGEST_KNOWN]
+        long = [w for w in new if len(w) > LONGEST_KNOWN] if len(short) < len(new) else []
+        self._learn(short)
+        self.held += 120 * len(short) + 8 * sum(map(len, short))
+        pool, pool_at = self.pool, self.pool_at
+        self._learn(long)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        flat, starts = gather(self.pool, self.pool_at, at)
+        if long:
+            for w in long:
+                del self.known[w]
+            self.pool, self.pool_at = pool, pool_at
+        return flat, starts[ends]
+
+    def _learn(self, new: list[str]) -> None:
+        """new: sorted words, not known yet."""
         if new:
             coded = self.encode_words(new)
             first = len(self.known)
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             self.pool = np.concatenate((self.pool, np.array([i for c in coded for i in c], np.int32)))
             self.pool_at = np.concatenate((self.pool_at, self.pool_at[-1] + np.cumsum([len(c) for c in coded])))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        flat, starts = gather(self.pool, self.pool_at, at)
-        return flat, starts[ends]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Each text's bytes; the first mark is the one put in front."""
