@@ -25,13 +25,21 @@ def strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+# longer lists are looped over: written out one by one they make a method too large to compile
+WRITTEN_OUT = 6
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     """Whether some word is a substring."""
+    if len(words) > WRITTEN_OUT:
+        return F.exists(strings(words), lambda w: F.contains(text, w))
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
 def count_of(text: Column, words: list[str]) -> Column:
     """How many of the words are substrings."""
+    if len(words) > WRITTEN_OUT:
+        return F.size(F.filter(strings(words), lambda w: F.contains(text, w)))
     return reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("int") for w in words))
 
 

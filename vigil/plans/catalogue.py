@@ -736,16 +736,6 @@ def _(spark, sf):
     return view(spark, sf, "items").where(T.any_of(F.lower(F.concat_ws(" ", "title", "summary")), TRACKED)).select("arrival_idx")
 
 
-@query(
-    "page_links",
-)
-def _(spark, sf):
-    return feeds.page_links(table(spark, sf, "pages").select("url", "html"), least=3)
-
-
-from ..streaming import stories as streams  # noqa: E402
-
-
 @query("stream_story_log", "SELECT action, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM stories GROUP BY action")
 def _(spark, sf):
     return streams.story_log(spark, sf)
@@ -756,4 +746,4 @@ def _(spark, sf):
     return streams.daily_counts(spark, sf)
 
 
-from . import more  # noqa: E402, F401
+from . import more, served  # noqa: E402, F401
