@@ -246,3 +246,7 @@ STATUTE_SECTIONS = {
 
 # words of company names that identify none
 GENERIC_NAME_WORDS = ["india", "indian", "limited", "ltd", "private", "pvt", "bank", "commission", "authority", "ministry", "board", "court", "of", "and", "the", "insurance", "financial", "services", "data"]
+
+# names that give no useful watch, and the topical words a watch is paired with
+WATCH_SKIPPED = ["unknown", "industry-wide", "generic"]
+WATCH_ANCHOR = "(data OR privacy OR breach OR penalty OR DPDP OR CERT-In)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, urls
@@ -93,8 +93,14 @@ def heuristic_record(items: DataFrame) -> DataFrame:
     )
 
 
-def candidate_rows(extracted: DataFrame) -> DataFrame:
-    """Extracted items as case rows: section by the authority's map, else by rule; sector unless Other, else by rule; confidence by an official URL."""
+def candidate_rows(extracted: DataFrame, as_of: Column) -> DataFrame:
+    """Extracted items as case rows: section by the authority's map, else by rule; sector unless Other, else by rule; confidence by an official URL.
+
+    The date is the item's, else that of the run. The id is of the run's year and the URL's hash, so that a repeated run gives the same rows. Columns that are
+    missing count as empty; what was extracted is kept whole beside them.
+    """
+    value = lambda c: T.filled(c) if c in extracted.columns else F.lit("")
+    id_ = F.concat(F.lit("AUTO-"), F.date_format(as_of, "yyyy"), F.lit("-"), F.upper(F.left(F.md5(T.filled("url").cast("binary")), F.lit(8))))
     text = F.concat_ws(" ", T.filled("title"), T.filled("x_summary"), T.filled("x_violation"))
     known = F.create_map(*[F.lit(x) for kv in L.AUTHORITY_SECTION.items() for x in kv])
     sector = F.when((T.filled("x_sector") != "") & (F.col("x_sector") != "Other"), F.col("x_sector")).otherwise(T.sector_of(text))
@@ -108,9 +114,38 @@ def candidate_rows(extracted: DataFrame) -> DataFrame:
         F.lit(True).alias("needs_review"),
         strong.alias("confidence"),
         F.col("url").alias("source_url"),
+        id_.alias("id"),
+        F.coalesce(F.nullif(value("published"), F.lit("")), F.date_format(as_of, "yyyy-MM-dd")).alias("date"),
+        value("x_violation").alias("violation_type"),
+        value("x_section").alias("dpdpa_section"),
+        F.coalesce(F.nullif(value("x_summary"), F.lit("")), value("summary")).alias("summary"),
+        value("x_penalty").alias("penalty_amount"),
+        F.coalesce(F.col("x_penalty_inr").cast("double") if "x_penalty_inr" in extracted.columns else F.lit(None), F.lit(0.0)).alias("penalty_amount_inr"),
+        value("x_outcome").alias("outcome"),
+        value("official_url").alias("official_source_url"),
+        F.lit(True).alias("auto_detected"),
+        F.to_json(F.struct(*[F.col(c) for c in extracted.columns if c.startswith("x_")])).alias("extracted"),
     )
 
 
+def watch_query(name: Column | str) -> Column:
+    return F.concat(F.lit('"'), T.col(name), F.lit(f'" {L.WATCH_ANCHOR}'))
+
+
+def watch_list(entities: DataFrame, most: int = 40) -> DataFrame:
+    """(name, kind, url, domain, at) of entities to watch: companies as first seen, then regulators and courts of more than one event; each name once, `most` in all.
+
+    entities: name, entity_type, slug, first_seen, n_events.
+    """
+    level = F.when(F.col("entity_type") == "company", 0).when(F.col("entity_type").isin("regulator", "court") & (F.col("n_events") > 1), 1)
+    low = F.lower(F.trim("name"))
+    fit = entities.withColumns({"_level": level, "_low": low}).where(F.col("_level").isNotNull() & (F.length("_low") >= 4) & ~F.col("_low").isin(L.WATCH_SKIPPED))
+    first = fit.groupBy("_low").agg(F.min_by(F.struct(F.trim("name").alias("name"), "slug", "_level", "first_seen"), F.struct("_level", "first_seen")).alias("f")).select("f.*")
+    top = first.orderBy("_level", "first_seen").limit(most)
+    top = top.withColumn("at", F.row_number().over(Window.orderBy("_level", "first_seen")))
+    return top.select(F.concat(F.lit("Watch: "), "name").alias("name"), F.lit("gnews").alias("kind"), watch_query("name").alias("url"), F.col("slug").alias("domain"), "at")
+
+
 def is_trusted(url: Column | str) -> Column:
     return T.any_of(T.filled(url), L.TRUSTED_DOMAINS)
 

@@ -22,13 +22,47 @@ def sector_buckets(cases: DataFrame) -> DataFrame:
     return cases.groupBy(bucket.otherwise("other_count").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def site_stats(cases: DataFrame) -> DataFrame:
+def site_stats(cases: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """Total, confirmed by a primary source, first year, and a count of each section asked for (total_<section>)."""
     year = F.left("date", F.lit(4))
+    per = [F.count_if(F.col("section") == s).alias(f"total_{s}") for s in sections or []]
     return cases.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("trust_tier") == "primary").alias("primary_confirmed"), F.min(F.when(year.rlike(r"^\d{4}$"), year)).alias("since")
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("trust_tier") == "primary").alias("primary_confirmed"), F.min(F.when(year.rlike(r"^\d{4}$"), year)).alias("since"), *per
     )
 
 
+def counts_map(counts: DataFrame, key: str, value: str, order: list) -> DataFrame:
+    """(m): a short table of counts as one map, in order."""
+    entry = F.struct(F.struct(*order).alias("o"), F.struct(F.col(key).alias("k"), F.col(value).alias("v")).alias("e"))
+    return counts.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])).alias("m"))
+
+
+def api_stats(cases: DataFrame, sections: list[str]) -> DataFrame:
+    """One row: totals, and counts by section (all asked for), authority and sector (the top ones of penalties_by)."""
+    total = site_stats(cases, sections).crossJoin(F.broadcast(cases.agg(F.round(F.sum(F.coalesce("penalty_amount_inr", F.lit(0.0))), 2).alias("total_penalty_inr"))))
+    by_section = F.map_from_arrays(F.array(*map(F.lit, sections)), F.array(*[F.col(f"total_{s}") for s in sections]))
+    out = total.select(F.col("total").alias("total_cases"), "primary_confirmed", "total_penalty_inr", by_section.alias("by_section"))
+    for key in ("authority", "sector"):
+        top = counts_map(penalties_by(cases, key), "name", "n", [F.col("rank")])
+        out = out.crossJoin(F.broadcast(top.withColumnRenamed("m", f"by_{key}")))  # one row each
+    return out
+
+
+def sweep_stats(raw: DataFrame, health: DataFrame, judged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of a sweep's counts. raw: (state) of each item: seen, duplicate or fresh; health: (status); judged: (keep, reason, carried); chosen: (url), the candidates."""
+    fine = F.col("status").isin("ok", "fallback")
+    n = lambda test, name: F.count_if(test).alias(name)
+    a = health.agg(F.count(F.lit(1)).alias("sources_polled"), n(fine, "sources_healthy"), n(~fine, "sources_dark"))
+    b = raw.agg(F.count(F.lit(1)).alias("raw_items"), n(F.col("state") == "seen", "already_seen"), n(F.col("state") == "duplicate", "near_duplicates"))
+    reasons = counts_map(judged.where("NOT keep").groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "reason", "n", [F.col("reason")])
+    c = judged.agg(n(~F.col("keep"), "prefilter_rejected"), n(F.col("keep"), "kept"), n(F.col("keep") & F.col("carried"), "carried_from_backlog"))
+    d = chosen.agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct(F.nullif("url", F.lit(""))).alias("new_urls"))
+    out = a
+    for part in (b, c, d, reasons.withColumnRenamed("m", "rejection_reasons")):
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out.withColumns({"deferred_to_backlog": F.col("kept") - F.col("candidates"), "paid_api_calls": F.lit(0)})
+
+
 def penalties_by(cases: DataFrame, key: str, top_k: int = 8) -> DataFrame:
     """Count, total and a bar of 4 to 100 per cent of the highest, for the top keys."""
     name = F.coalesce(F.nullif(F.trim(T.filled(key)), F.lit("")), F.lit("Unknown"))

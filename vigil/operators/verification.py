@@ -74,16 +74,22 @@ def reasons(rows: DataFrame) -> DataFrame:
     return out.withColumn("excerpt", F.when(short, "").otherwise(F.coalesce(near, by_name, F.lit("")))).drop("_claim", "_raw")
 
 
-def verify(cases: DataFrame, documents: DataFrame, trusted: list[str]) -> DataFrame:
+def verify(cases: DataFrame, documents: DataFrame, trusted: list[str], listed: str | None = None, lookup: DataFrame | None = None) -> DataFrame:
     """The verification of each case: the first trusted URL of its list, the document there (url, document), the match, tier, note and independent count.
 
-    Documents are joined by URL; each URL holds one document.
+    listed: a column of further URLs (array). lookup: (id, official_url) found by search for cases without a trusted URL. Documents are joined by URL, each of
+    which holds one document; cases without a URL take no part in that join.
     """
     from ..functions import urls as U
 
-    rows = cases.withColumn("urls", source_list("official_source_url", "source_url"))
+    rows = cases.withColumn("urls", source_list("official_source_url", "source_url", listed))
     official = F.coalesce(F.get(F.filter("urls", lambda u: T.any_of(u, trusted)), F.lit(0)), F.lit(""))
-    rows = rows.withColumn("official_url", official).join(documents.withColumnRenamed("url", "official_url"), "official_url", "left")
+    rows = rows.withColumn("official_url", official)
+    if lookup is not None:
+        found = lookup.groupBy("id").agg(F.min("official_url").alias("_found"))
+        rows = rows.join(found, "id", "left").withColumn("official_url", F.when(F.col("official_url") == "", T.filled("_found")).otherwise(F.col("official_url"))).drop("_found")
+    with_url = rows.where("official_url <> ''").join(documents.withColumnRenamed("url", "official_url"), "official_url", "left")
+    rows = with_url.unionByName(rows.where("official_url = ''"), allowMissingColumns=True)
     matched = reasons(match(rows))
     lower = F.when(F.size("urls") > 0, "press").otherwise("ai")
     note = F.when(F.col("official_url") == "", "no_official_source_found").when(T.filled("document") == "", "official_source_unreachable")
@@ -102,6 +108,23 @@ def verify(cases: DataFrame, documents: DataFrame, trusted: list[str]) -> DataFr
     )
 
 
+def summaries(verified: DataFrame) -> DataFrame:
+    """A flat row of each verification: tier, official URL, strength (`none` without a document), 400 signs of excerpt, and reasons, or the note in their place."""
+    none = F.col("note") != ""
+    archived = T.filled("archived_url") if "archived_url" in verified.columns else F.lit("")
+    return verified.select(
+        "id",
+        "trust_tier",
+        "official_url",
+        "verified",
+        F.when(none, "none").otherwise(F.col("strength")).alias("strength"),
+        "independent_sources",
+        archived.alias("archived_url"),
+        F.when(F.col("verified"), F.left(T.filled("excerpt"), F.lit(400))).otherwise("").alias("excerpt"),
+        F.when(none, F.array("note")).otherwise(F.col("reasons")).alias("reasons"),
+    )
+
+
 def evidence_rows(verified: DataFrame, cap: int = 10) -> DataFrame:
     """Evidence of the verified cases with an official URL; the first `cap` by arrival are to be archived (a top-k, joined back by broadcast)."""
     good = verified.where(F.col("verified") & (T.filled("official_url") != ""))

@@ -8,7 +8,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import events, graph, insights, prefilter, publish, reports, state, verification
 from ..sources.tables import table, view
-from .catalogue import _AMOUNTS, _EDGES, JUDGED, SLUG, TIER, anyof, entity_sql, judged, lst, query, routed, rx
+from .catalogue import _AMOUNTS, _EDGES, JUDGED, SLUG, TIER, anyof, as_of, entity_sql, judged, lst, query, routed, rx
 
 LABELS = {"dpdpa_board": "Board", "cert_in_breach": "Breach", "courts_case_law": "Courts"}
 
@@ -79,12 +79,14 @@ _COMBINED = f"concat_ws(' ', title, {_XSUM}, '[Auto-flagged — verify]')"
 @query(
     "candidate_rows",
     f"""SELECT arrival_idx, CASE a WHEN 'CERT-In' THEN 'cert_in_breach' WHEN 'MeitY' THEN 'dpdpa_board' ELSE {routed('lower(concat_ws(chr(32), a, c))', L.SECTION_RULES, L.SECTION_DEFAULT)} END AS section, coalesce(nullif(a, ''), 'Unknown') AS authority,
-  '[Needs review — see source]' AS company, CASE WHEN x <> 'Other' THEN x ELSE {routed('lower(c)', L.SECTOR_RULES, L.SECTOR_DEFAULT)} END AS sector, true AS needs_review, CASE WHEN arrival_idx % 5 = 0 THEN 'high' ELSE 'low' END AS confidence, url AS source_url
+  '[Needs review — see source]' AS company, CASE WHEN x <> 'Other' THEN x ELSE {routed('lower(c)', L.SECTOR_RULES, L.SECTOR_DEFAULT)} END AS sector, true AS needs_review, CASE WHEN arrival_idx % 5 = 0 THEN 'high' ELSE 'low' END AS confidence, url AS source_url,
+  concat('AUTO-2024-', upper(left(md5(url), 8))) AS id, published AS date, '[Auto-flagged — verify]' AS violation_type, {_XSUM} AS summary, trim(regexp_extract(b, '{_RX_MONEY}', 0)) AS penalty_amount, 0.0 AS penalty_amount_inr, 'Investigation Ongoing' AS outcome,
+  CASE WHEN arrival_idx % 5 = 0 THEN 'https://rbi.org.in/x' ELSE '' END AS official_source_url, true AS auto_detected
   FROM (SELECT *, {_NAMED} AS a, {_COMBINED} AS c, {routed('t', L.SECTOR_RULES, L.SECTOR_DEFAULT)} AS x FROM {_HEUR} WHERE {rx('t', L.ENFORCEMENT_SIGNAL)})""",
 )
 def _(spark, sf):
     r = events.heuristic_record(view(spark, sf, "items")).withColumn("x_authority", F.expr(_NAMED)).withColumn("official_url", F.expr("CASE WHEN arrival_idx % 5 = 0 THEN 'https://rbi.org.in/x' ELSE '' END"))
-    return events.candidate_rows(r)
+    return events.candidate_rows(r, as_of()).drop("dpdpa_section", "extracted")
 
 
 @query("trusted_sources", f"SELECT id, {anyof('u', L.TRUSTED_DOMAINS)} AS trusted, {anyof('u', L.AGGREGATOR_HOSTS)} AS aggregator FROM (SELECT id, CASE id % 3 WHEN 0 THEN concat('https://www.rbi.org.in/', id) WHEN 1 THEN 'https://news.google.com/rss/a' ELSE source_url END AS u FROM cases)")

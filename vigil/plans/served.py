@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import markup
 from ..functions import text as T
-from ..operators import prefilter, resolver, scoring
+from ..operators import events, prefilter, publish, resolver, scoring, search
 from ..sources import feeds, scratch
 from ..sources.keyed import KeyedTable
 from ..sources.tables import table, view
 from ..streaming import rolling
 from ..streaming.sweep import FIELDS, Sweeper
-from .catalogue import ALWAYS, PRIMARY, TRACKED, as_of, entity_sql, lst, query, slug_sql, sq
+from .catalogue import ALWAYS, JUDGED, PRIMARY, TIER, TRACKED, as_of, entity_sql, judged, lst, query, slug_sql, sq, tiered
 
 # --- entities, resolved in order with feedback ---
 # names of seven tokens, of which near ones share six, and variants of curated entities among them
@@ -185,3 +185,69 @@ def _(spark, sf):
     for epoch in range(3):
         s.sweep(items.where(F.col("arrival_idx") % 3 == epoch), epoch, F.lit(datetime.datetime(2024, 6, 28 + epoch)))
     return s.results().select("epoch", "rank", "url", "title", "score", "carried")
+
+
+# --- search, verification by look-up, published tables ---
+_WORDS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN ({lst(L.STOP_WORDS)}))"
+
+
+@query(
+    "search_documents",
+    f"""WITH w AS (SELECT doc_id AS doc, {_WORDS} AS w FROM documents), x AS (SELECT doc, len(w) AS len, unnest(w) AS term FROM w WHERE len(w) > 0), p AS (SELECT doc, len, term, count(*) AS tf FROM x GROUP BY ALL),
+  t AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT DISTINCT doc, len FROM p)), i AS (SELECT term, ln(1 + ((SELECT n FROM t) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY term),
+  q AS (SELECT DISTINCT item_id AS qid, unnest({_WORDS}) AS term FROM benchmark), s AS (SELECT qid, doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM t)))) AS score FROM p JOIN q USING (term) JOIN i USING (term) GROUP BY qid, doc)
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS INT) AS rank, doc, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) <= 5""",
+)
+def _(spark, sf):
+    index = search.Index(table(spark, sf, "documents"), "doc_id", "text")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return index.search(queries, 5).withColumn("score", F.round("score", 6))
+
+
+_SECTIONS = ["dpdpa_board", "sectoral_regulators", "cert_in_breach", "courts_case_law", "international_benchmarks"]
+
+
+@query(
+    "api_stats",
+    f"""WITH c AS (SELECT *, {TIER} AS tier FROM cases), g AS (SELECT 'authority' AS kind, coalesce(nullif(trim(authority), ''), 'Unknown') AS name, penalty_amount_inr AS inr FROM c UNION ALL SELECT 'sector', coalesce(nullif(trim(sector), ''), 'Unknown'), penalty_amount_inr FROM c),
+  h AS (SELECT kind, name, count(*) AS n, round(sum(inr), 2) AS total FROM g GROUP BY kind, name QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(sum(inr), 2) DESC, count(*) DESC, name) <= 8)
+  SELECT count(*) AS total_cases, count(*) FILTER (tier = 'primary') AS primary_confirmed, round(sum(penalty_amount_inr), 2) AS total_penalty_inr,
+  concat_ws(',', {", ".join(f"concat('{x}=', count(*) FILTER (section = '{x}'))" for x in _SECTIONS)}) AS by_section,
+  (SELECT string_agg(concat(name, '=', n), ',' ORDER BY total DESC, n DESC, name) FROM h WHERE kind = 'authority') AS by_authority, (SELECT string_agg(concat(name, '=', n), ',' ORDER BY total DESC, n DESC, name) FROM h WHERE kind = 'sector') AS by_sector FROM c""",
+)
+def _(spark, sf):
+    out = publish.api_stats(tiered(spark, sf), _SECTIONS)
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return out.select("total_cases", "primary_confirmed", "total_penalty_inr", said("by_section"), said("by_authority"), said("by_sector"))
+
+
+@query(
+    "watch_list",
+    f"""WITH e AS (SELECT company AS name, CASE id % 4 WHEN 0 THEN 'regulator' WHEN 1 THEN 'company' WHEN 2 THEN 'court' ELSE 'case' END AS entity_type, id, id % 3 AS n FROM cases),
+  f AS (SELECT trim(name) AS name, id, CASE WHEN entity_type = 'company' THEN 0 WHEN entity_type IN ('regulator', 'court') AND n > 1 THEN 1 END AS level FROM e WHERE length(trim(name)) >= 4),
+  g AS (SELECT first(name ORDER BY level, id) AS name, min(level) AS level, first(id ORDER BY level, id) AS id FROM f WHERE level IS NOT NULL GROUP BY lower(name) ORDER BY 2, 3 LIMIT 2000)
+  SELECT concat('Watch: ', name) AS name, concat('"', name, '" {L.WATCH_ANCHOR}') AS url, CAST(row_number() OVER (ORDER BY level, id) AS INT) AS at FROM g""",
+)
+def _(spark, sf):
+    c = view(spark, sf, "cases")
+    e = c.select(F.col("company").alias("name"), F.expr("CASE id % 4 WHEN 0 THEN 'regulator' WHEN 1 THEN 'company' WHEN 2 THEN 'court' ELSE 'case' END").alias("entity_type"), F.lit("").alias("slug"), F.col("id").alias("first_seen"), (F.col("id") % 3).alias("n_events"))
+    return events.watch_list(e, 2000).select("name", "url", "at")
+
+
+@query(
+    "sweep_stats",
+    f"""WITH j AS (SELECT arrival_idx, url, keep, reason, carried, score, priority FROM {JUDGED}), k AS (SELECT url FROM j WHERE keep ORDER BY score DESC, carried, priority DESC, arrival_idx LIMIT 15), h AS (SELECT source, CASE WHEN count(*) % 3 = 0 THEN 'blocked' WHEN count(*) % 3 = 1 THEN 'fallback' ELSE 'ok' END AS status FROM items GROUP BY source)
+  SELECT (SELECT count(*) FROM h) AS sources_polled, (SELECT count(*) FROM h WHERE status <> 'blocked') AS sources_healthy, (SELECT count(*) FROM h WHERE status = 'blocked') AS sources_dark,
+  (SELECT count(*) FROM items) AS raw_items, (SELECT count(*) FROM items WHERE arrival_idx % 9 = 0) AS already_seen, (SELECT count(*) FROM items WHERE arrival_idx % 9 = 1) AS near_duplicates, count(*) FILTER (NOT keep) AS prefilter_rejected, count(*) FILTER (keep) AS kept,
+  count(*) FILTER (keep AND carried) AS carried_from_backlog, (SELECT count(*) FROM k) AS candidates, (SELECT count(DISTINCT url) FROM k WHERE url <> '') AS new_urls, count(*) FILTER (keep) - (SELECT count(*) FROM k) AS deferred_to_backlog, 0 AS paid_api_calls,
+  (SELECT string_agg(concat(reason, '=', n), ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM j WHERE NOT keep GROUP BY reason)) AS rejection_reasons FROM j""",
+)
+def _(spark, sf):
+    items = view(spark, sf, "items")
+    state = F.when(F.col("arrival_idx") % 9 == 0, "seen").when(F.col("arrival_idx") % 9 == 1, "duplicate").otherwise("fresh")
+    status = F.element_at(F.array(*map(F.lit, ["blocked", "fallback", "ok"])), (F.col("n") % 3 + 1).cast("int"))
+    health = items.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", status.alias("status"))
+    found = scratch.stored(judged(spark, sf).select("arrival_idx", "url", "keep", "reason", "carried", "score", "priority"))
+    out = publish.sweep_stats(items.select(state.alias("state")), health, found, prefilter.candidates(found.where("keep")))
+    reasons = F.array_join(F.transform(F.map_entries("rejection_reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumn("rejection_reasons", reasons)

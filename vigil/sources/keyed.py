@@ -46,7 +46,7 @@ class KeyedTable:
         version = self.version() if version is None else version
         if not version:
             return {"buckets": {}, "names": []}
-        return json.loads("".join(r.value for r in self.spark.read.text(self._file(version), wholetext=True).collect()))
+        return json.loads(scratch.read_text(self.spark, self._file(version)))
 
     def _commit(self, base: int, manifest: dict) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path

@@ -57,3 +57,13 @@ def discard(*frames: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
             delete(df.sparkSession, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, hidden ones too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
