@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vigil.functions import dates, money, text, urls
-from vigil.operators import clustering, dedup, state
+from vigil.operators import clustering, state
 
 
 def one(spark, **columns):
@@ -53,12 +53,6 @@ def test_slugs_pass_over_taken_ones(spark):
     assert len(set(got.values())) == 4 and got["x", 1] == "x" and got["x", 3] == "x-3"
 
 
-def test_sequential_dedup(spark):
-    df = spark.createDataFrame([(1, "alpha beta gamma", 0), (2, "alpha beta gamma", 0), (3, "delta epsilon", 0)], "doc_id long, text string, g int")
-    got = {r.doc_id: r.is_duplicate for r in dedup.sequential(df, "g").collect()}
-    assert got == {1: False, 2: True, 3: False}
-
-
 def test_state(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 3)], "k int, v string, w int")

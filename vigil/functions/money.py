@@ -22,21 +22,24 @@ def currency(sign: Column) -> Column:
 
 
 def amounts(text: Text) -> Column:
-    """array<struct<value, currency, raw>>: numbers with a currency or a multiplier, then amounts in words."""
-    found = lambda p, g: F.regexp_extract_all(filled(text), F.lit(p), F.lit(g))
+    """array<struct<value, currency, raw>>: numbers with a currency or a multiplier, then amounts in words.
+
+    The text is searched once for each kind; the parts of a match are taken from the match, which is short.
+    """
+    part = lambda m, p, g: F.regexp_extract(m, p, g)
+    times = lambda word: F.try_element_at(_lookup(L.MULTIPLIERS), F.lower(word))
     digits = F.transform(
-        F.arrays_zip(found(AMOUNT, 1).alias("raw"), found(AMOUNT, 2).alias("sign"), found(AMOUNT, 3).alias("number"), found(AMOUNT, 4).alias("times")),
+        F.regexp_extract_all(filled(text), F.lit(AMOUNT), F.lit(1)),
         lambda m: F.struct(
-            F.replace(m["number"], F.lit(","), F.lit("")).cast("double")
-            * F.coalesce(F.try_element_at(_lookup(L.MULTIPLIERS), F.lower(m["times"])), F.lit(1.0)),
-            currency(m["sign"]),
-            F.trim(m["raw"]),
-            (m["sign"] != "") | (m["times"] != ""),
+            F.replace(part(m, AMOUNT, 3), F.lit(","), F.lit("")).cast("double") * F.coalesce(times(part(m, AMOUNT, 4)), F.lit(1.0)),
+            currency(part(m, AMOUNT, 2)),
+            F.trim(m),
+            (part(m, AMOUNT, 2) != "") | (part(m, AMOUNT, 4) != ""),
         ),
     )
     worded = F.transform(
-        F.arrays_zip(found(WORDED, 0).alias("raw"), found(WORDED, 1).alias("number"), found(WORDED, 2).alias("times")),
-        lambda m: F.struct(F.try_element_at(_lookup(L.NUMBER_WORDS), F.lower(m["number"])) * F.try_element_at(_lookup(L.MULTIPLIERS), F.lower(m["times"])), F.lit("INR"), F.trim(m["raw"]), F.lit(True)),
+        F.regexp_extract_all(filled(text), F.lit(WORDED), F.lit(0)),
+        lambda m: F.struct(F.try_element_at(_lookup(L.NUMBER_WORDS), F.lower(part(m, WORDED, 1))) * times(part(m, WORDED, 2)), F.lit("INR"), F.trim(m), F.lit(True)),
     )
     kind = "array<struct<value:double,currency:string,raw:string,counts:boolean>>"
     both = F.filter(F.concat(digits.cast(kind), worded.cast(kind)), lambda a: a["counts"] & (a["value"] > 0))

@@ -59,7 +59,11 @@ def deferred(scored: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def funnel(stages: DataFrame, order: list[str]) -> DataFrame:
     """stages: one column of flags for each stage, nested. Count, drop from the one before and share of the first."""
-    counts = stages.agg(*[F.count_if(F.col(c)).alias(c) for c in order])
+    return funnel_of(stages.agg(*[F.count_if(F.col(c)).alias(c) for c in order]), order)
+
+
+def funnel_of(counts: DataFrame, order: list[str]) -> DataFrame:
+    """The same of one row of counts."""
     rows = counts.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in order])).alias("stage_no", "s")).select("stage_no", "s.stage", "s.n")
     w = Window.orderBy("stage_no")  # as many rows as stages
     first = F.first("n").over(w)

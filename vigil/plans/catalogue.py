@@ -283,10 +283,8 @@ def _(spark, sf):
 def _(spark, sf):
     j = judged(spark, sf)
     one = j.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("keep", "score"), "arrival_idx").alias("f")).select("n", "f.*")
-    # a row of each item sensed, the first of its URL marked
-    flags = one.select("keep", "score", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).select(F.lit(True).alias("sensed"), (F.col("at") == 1).alias("deduplicated"), "keep", "score")
-    flags = flags.withColumn("passed", F.col("deduplicated") & F.col("keep")).withColumn("alerted", F.col("passed") & (F.col("score") >= 12))
-    return prefilter.funnel(flags, ["sensed", "deduplicated", "passed", "alerted"])
+    counts = one.agg(F.sum("n").alias("sensed"), F.count(F.lit(1)).alias("deduplicated"), F.count_if("keep").alias("passed"), F.count_if(F.col("keep") & (F.col("score") >= 12)).alias("alerted"))
+    return prefilter.funnel_of(counts.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts.columns]), ["sensed", "deduplicated", "passed", "alerted"])
 
 
 @query("section_router", f"SELECT arrival_idx, {routed('lower(concat_ws(chr(32), source, title))', L.SECTION_RULES, L.SECTION_DEFAULT)} AS section, {routed('lower(concat_ws(chr(32), title, summary))', L.SECTOR_RULES, L.SECTOR_DEFAULT)} AS sector FROM items")
