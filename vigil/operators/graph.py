@@ -92,3 +92,12 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
 def pageable(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("entity_type").isin(L.PAGEABLE_TYPES) & (F.col("n_events") > 0))
+
+
+def companies(entities: DataFrame) -> DataFrame:
+    return entities.where(F.col("entity_type") == "company")
+
+
+def regulators(entities: DataFrame) -> DataFrame:
+    """Regulators and courts."""
+    return entities.where(F.col("entity_type").isin("regulator", "court"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 
 
@@ -115,3 +116,50 @@ def angles(stories: DataFrame, least: int = 8, most: int = 8) -> DataFrame:
 
 def llms_lines(cases: DataFrame, base: str) -> DataFrame:
     return cases.select(F.concat(F.lit("- ["), "title", F.lit(f"]({base}/"), "url_path", F.lit(")")).alias("value"))
+
+
+def statute_sections(spark: SparkSession) -> DataFrame:
+    """(number, title, chapter, place) of the listed sections."""
+    rows = [(n, t, c, k) for k, (n, (t, c)) in enumerate(L.STATUTE_SECTIONS.items())]
+    return spark.createDataFrame(rows, "number string, title string, chapter string, place int")
+
+
+def statute_pages(cases: DataFrame, most: int = 4) -> DataFrame:
+    """A row of each listed section: label, title, chapter, path, how many cases cite it, the latest one, and the first others of its chapter.
+
+    cases: id, date, dpdpa_section. The table of sections has a fixed size and is broadcast.
+    """
+    sections = statute_sections(cases.sparkSession)
+    cited = cases.select("id", "date", F.explode(T.citations("dpdpa_section")).alias("number"))
+    counts = cited.groupBy("number").agg(F.count(F.lit(1)).alias("n_cases"), F.min_by("id", F.struct(F.col("date").isNull(), (-F.unix_date(F.to_date("date"))), "id")).alias("latest"))
+    near = related_in_group(sections, "chapter", "number", "place", most).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("rank", "related"))).alias("r"))
+    pages = F.broadcast(sections).join(counts, "number", "left").join(F.broadcast(near), "number", "left")
+    return pages.select(
+        F.concat(F.lit("Section "), "number").alias("label"),
+        "title",
+        "chapter",
+        F.concat(F.lit("dpdpa/section-"), "number").alias("path"),
+        F.coalesce("n_cases", F.lit(0).cast("long")).alias("n_cases"),
+        "latest",
+        F.coalesce(F.array_join(F.transform("r", lambda x: x["related"]), ","), F.lit("")).alias("related"),
+    )
+
+
+def chosen(rows: DataFrame, choices: dict[str, str | None]) -> DataFrame:
+    """The rows that have each chosen category; a choice that is empty or null leaves all."""
+    for column, value in choices.items():
+        if value:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def seeded(rows: DataFrame, now: Column) -> DataFrame:
+    """Curated rows as verified cases: constants of confidence and review, times of now, and the standing note where a row has none."""
+    note = F.lit("Curated baseline — verify against source.")
+    constants = {"auto_detected": F.lit(False), "needs_review": F.lit(False), "confidence": F.lit("high"), "detected_at": now, "verified_at": now, "updated_at": now}
+    return rows.withColumns(constants | {"notes": F.coalesce("notes", note) if "notes" in rows.columns else note})
+
+
+def unrecorded(items: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The items whose URL is no recorded case's source."""
+    return items.join(recorded.select("url").distinct(), "url", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import markup
 from ..functions import text as T
-from ..operators import events, prefilter, publish, resolver, scoring, search
+from ..operators import events, graph, insights, prefilter, publish, reports, resolver, scoring, search
 from ..sources import feeds, scratch
 from ..sources.keyed import KeyedTable
 from ..sources.tables import table, view
@@ -251,3 +251,52 @@ def _(spark, sf):
     out = publish.sweep_stats(items.select(state.alias("state")), health, found, prefilter.candidates(found.where("keep")))
     reasons = F.array_join(F.transform(F.map_entries("rejection_reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return out.withColumn("rejection_reasons", reasons)
+
+
+# --- the statute, seeds, choices, robots ---
+_LISTED = ", ".join(f"({k}, '{n}', '{t}', '{c}')" for k, (n, (t, c)) in enumerate(L.STATUTE_SECTIONS.items()))
+
+
+@query(
+    "statute_pages",
+    f"""WITH s AS (SELECT * FROM (VALUES {_LISTED}) AS v(place, number, title, chapter)), k AS (SELECT DISTINCT id, date, unnest(regexp_extract_all(dpdpa_section, '{L.SECTION_REFERENCE}', 1)) AS number FROM cases WHERE contains(lower(dpdpa_section), 'dpdp') OR NOT ({" OR ".join(f"contains(lower(dpdpa_section), '{w}')" for w in L.OTHER_STATUTES)})),
+  n AS (SELECT number, count(*) AS n_cases, first(id ORDER BY date DESC, id) AS latest FROM k GROUP BY number),
+  r AS (SELECT a.number, b.number AS other, row_number() OVER (PARTITION BY a.number ORDER BY b.place) AS rank FROM s a JOIN s b ON a.chapter = b.chapter AND a.number <> b.number QUALIFY rank <= 4)
+  SELECT concat('Section ', number) AS label, title, chapter, concat('dpdpa/section-', number) AS path, coalesce(n_cases, 0) AS n_cases, latest, coalesce((SELECT string_agg(other, ',' ORDER BY rank) FROM r WHERE r.number = s.number), '') AS related FROM s LEFT JOIN n USING (number)""",
+)
+def _(spark, sf):
+    return reports.statute_pages(view(spark, sf, "cases"))
+
+
+@query("category_filter", "SELECT id, section, outcome FROM cases WHERE section = 'courts_case_law' AND outcome = 'Consultation'")
+def _(spark, sf):
+    return reports.chosen(view(spark, sf, "cases"), {"section": "courts_case_law", "outcome": "Consultation", "sector": "", "authority": None}).select("id", "section", "outcome")
+
+
+@query("seed_rows", "SELECT id, company, false AS auto_detected, false AS needs_review, 'high' AS confidence, CASE WHEN id % 4 = 0 THEN 'from the register' ELSE 'Curated baseline — verify against source.' END AS notes, '2024-06-30' AS updated_at FROM cases")
+def _(spark, sf):
+    c = view(spark, sf, "cases").withColumn("notes", F.when(F.col("id") % 4 == 0, "from the register"))
+    return reports.seeded(c, as_of()).select("id", "company", "auto_detected", "needs_review", "confidence", "notes", F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@query("unrecorded_items", "SELECT arrival_idx, url FROM items WHERE url NOT IN (SELECT url FROM items WHERE arrival_idx % 4 = 0)")
+def _(spark, sf):
+    i = view(spark, sf, "items").select("url", "arrival_idx")
+    return reports.unrecorded(i, i.where("arrival_idx % 4 = 0")).select("arrival_idx", "url")
+
+
+@query("entity_partitions", "SELECT kind, count(*) AS n FROM (SELECT CASE id % 4 WHEN 0 THEN 'regulators' WHEN 1 THEN 'companies' WHEN 2 THEN 'regulators' END AS kind FROM cases) WHERE kind IS NOT NULL GROUP BY kind")
+def _(spark, sf):
+    e = view(spark, sf, "cases").select("id", F.expr("CASE id % 4 WHEN 0 THEN 'regulator' WHEN 1 THEN 'company' WHEN 2 THEN 'court' ELSE 'case' END").alias("entity_type"))
+    both = graph.companies(e).select(F.lit("companies").alias("kind")).unionByName(graph.regulators(e).select(F.lit("regulators").alias("kind")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROBOTS = "concat('User-agent: *\\nDisallow: /admin', CAST(page_id AS STRING), '\\nuser-agent: Bot', CAST(page_id % 5 AS STRING), '\\nDisallow: /x\\n', CASE WHEN page_id % 3 = 0 THEN 'Sitemap: https://h/s.xml' ELSE '' END)"
+
+
+@query("robots_files", "SELECT url, concat('*,Bot', page_id % 5) AS agents, concat('/admin', page_id, ',/x') AS disallowed, page_id % 3 = 0 AS sitemap FROM pages")
+def _(spark, sf):
+    files = table(spark, sf, "pages").select("url", F.expr(_ROBOTS).alias("body"))
+    r = insights.robots(files)
+    return r.select("url", F.array_join("agents", ",").alias("agents"), F.array_join("disallowed", ",").alias("disallowed"), "sitemap")
