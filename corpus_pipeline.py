@@ -19,18 +19,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the lines that repeat an earlier line, or are one word from it, out of the texts; one that loses lines and keeps no letter or digit goes."""
     return lines.line_dedup_stage(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each group linked by 5-word shingles of Jaccard 0.8 or more; documents without words all stay."""
     return jaccard.near_duplicate_stage(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark windows cover a twentieth of the words or more; the others stay as they were."""
     return decontamination.decontamination_stage(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the pieces of every text: n_tokens, ids and round_trip; drops nothing."""
     return pieces.encode(docs)
 
 
