@@ -49,7 +49,7 @@ class Encoder:
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "normal"}
         self.scores = scores
         self.longest = max(map(len, self.ids), default=1)
-        self.tails = {p[i:]: False for p in self.ids for i in range(len(p))} | dict.fromkeys(self.ids, True)
+        self._automaton()
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "byte"}
         self.unknown = kinds.index("unknown") if "unknown" in kinds else 0
         self.floor = min((s for s, k in zip(scores, kinds, strict=True) if k == "normal"), default=0.0) - 10.0
@@ -62,6 +62,36 @@ class Encoder:
         self.raw_at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         self.clear()
 
+    def _automaton(self) -> None:
+        """A trie of the pieces with failure links: in each state the pieces of two signs or more that may end here are known, the longest first."""
+        self.steps: list[dict[str, int] | None] = [None]
+        self.fails, self.ends = [0], [()]
+        for p in self.ids:
+            at = 0
+            for c in p:
+                step = self.steps[at]
+                if step is None:
+                    step = self.steps[at] = {}
+                at = step.get(c) or step.setdefault(c, len(self.steps))
+                if at == len(self.steps):
+                    self.steps.append(None)
+                    self.fails.append(0)
+                    self.ends.append(())
+            if len(p) > 1:
+                self.ends[at] = (p,)
+        row = list((self.steps[0] or {}).values())
+        while row:  # by depth: what a state fails to is less deep
+            deeper = []
+            for at in row:
+                self.ends[at] += self.ends[self.fails[at]]
+                for c, to in (self.steps[at] or {}).items():
+                    back = self.fails[at]
+                    while back and c not in (self.steps[back] or ()):
+                        back = self.fails[back]
+                    self.fails[to] = (self.steps[back] or {}).get(c, 0)
+                    deeper.append(to)
+            row = deeper
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -112,41 +142,43 @@ class Encoder:
         out = []
         arcs: list[str] = [""]  # the piece that ends each prefix of the present word
         best = [0.0]
+        states = [0]  # of the automaton, after each prefix
         before = ""
-        ids, scores, longest, pairs, tail, stands = self.ids, self.scores, self.longest, self.pairs, self.tails.get, self.stands
+        ids, scores, longest, pairs, stands = self.ids, self.scores, self.longest, self.pairs, self.stands
+        steps, fails, ends = self.steps, self.fails, self.ends
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del arcs[shared + 1 :], best[shared + 1 :]
+            del arcs[shared + 1 :], best[shared + 1 :], states[shared + 1 :]
             append = arcs.append
-            for end in range(shared + 1, len(word) + 1):
-                pick = word[end - 1]
-                if self.unigram:
+            if self.unigram:
+                for end in range(shared + 1, len(word) + 1):
+                    pick = word[end - 1]
                     top = best[end - 1] + (scores[ids[pick]] if pick in ids else self.floor)
                     for start in range(max(0, end - longest), end - 1):
                         k = ids.get(word[start:end])
                         if k is not None and best[start] + scores[k] > top:
                             top, pick = best[start] + scores[k], word[start:end]
                     best.append(top)
-                else:
-                    whole, start = (), end - 2
-                    while start >= 0:  # as far back as some piece may reach; the longest one comes to stand first
-                        piece = word[start:end]
-                        kind = tail(piece)
-                        if kind is None:
-                            break
-                        if kind:
-                            whole = (piece, start, whole)
-                        start -= 1
-                    while whole:
-                        piece, start, whole = whole
-                        key = (arcs[start], piece)
+                    append(pick)
+            else:
+                at, end = states[shared], shared
+                for pick in word[shared:]:
+                    end += 1
+                    step = steps[at]
+                    while at and (step is None or pick not in step):
+                        at = fails[at]
+                        step = steps[at]
+                    at = step.get(pick, 0) if step is not None else 0
+                    states.append(at)
+                    for piece in ends[at]:  # the longest one comes to stand first
+                        key = (arcs[end - len(piece)], piece)
                         ok = pairs.get(key)
                         if ok or ok is None and stands(*key):
                             pick = piece
                             break
-                append(pick)
+                    append(pick)
             before = word
             found, end = [], len(word)
             while end:
