@@ -153,7 +153,7 @@ def _place(spark, name):
 @query(
     "persisted_merges",
     "WITH a AS (SELECT id, company, outcome, 1 AS n FROM cases), b AS (SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE 'patched' END AS outcome FROM cases WHERE id % 3 = 0 UNION ALL SELECT -id - 1, 'new' FROM cases WHERE id % 5 = 0) "
-    "SELECT coalesce(a.id, b.id) AS id, company, coalesce(b.outcome, a.outcome) AS outcome, CASE WHEN coalesce(a.id, b.id) % 4 = 1 THEN 2 ELSE n END AS n FROM a FULL JOIN b ON a.id = b.id WHERE NOT (coalesce(a.id, b.id) % 7 = 1)",
+    "SELECT coalesce(a.id, b.id) AS id, company, coalesce(b.outcome, a.outcome) AS outcome, CASE WHEN coalesce(a.id, b.id) % 4 = 1 THEN 2 ELSE coalesce(n, 0) END AS n FROM a FULL JOIN b ON a.id = b.id WHERE NOT (coalesce(a.id, b.id) % 7 = 1)",
 )
 def _(spark, sf):
     c = view(spark, sf, "cases").select("id", "company", "outcome", F.lit(1).alias("n"))
@@ -165,7 +165,7 @@ def _(spark, sf):
     t.upsert(changed.unionByName(added))
     t.update(F.col("id") % 4 == 1, {"n": F.lit(2)})
     t.delete(F.col("id") % 7 == 1)
-    return t.read()
+    return t.read().withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("rolling_near_duplicates")
@@ -262,10 +262,10 @@ _LISTED = ", ".join(f"({k}, '{n}', '{t}', '{c}')" for k, (n, (t, c)) in enumerat
     f"""WITH s AS (SELECT * FROM (VALUES {_LISTED}) AS v(place, number, title, chapter)), k AS (SELECT DISTINCT id, date, unnest(regexp_extract_all(dpdpa_section, '{L.SECTION_REFERENCE}', 1)) AS number FROM cases WHERE contains(lower(dpdpa_section), 'dpdp') OR NOT ({" OR ".join(f"contains(lower(dpdpa_section), '{w}')" for w in L.OTHER_STATUTES)})),
   n AS (SELECT number, count(*) AS n_cases, first(id ORDER BY date DESC, id) AS latest FROM k GROUP BY number),
   r AS (SELECT a.number, b.number AS other, row_number() OVER (PARTITION BY a.number ORDER BY b.place) AS rank FROM s a JOIN s b ON a.chapter = b.chapter AND a.number <> b.number QUALIFY rank <= 4)
-  SELECT concat('Section ', number) AS label, title, chapter, concat('dpdpa/section-', number) AS path, coalesce(n_cases, 0) AS n_cases, latest, coalesce((SELECT string_agg(other, ',' ORDER BY rank) FROM r WHERE r.number = s.number), '') AS related FROM s LEFT JOIN n USING (number)""",
+  SELECT concat('Section ', number) AS label, title, chapter, concat('dpdpa/section-', number) AS path, coalesce(n_cases, 0) AS n_cases, coalesce(latest, -1) AS latest, coalesce((SELECT string_agg(other, ',' ORDER BY rank) FROM r WHERE r.number = s.number), '') AS related FROM s LEFT JOIN n USING (number)""",
 )
 def _(spark, sf):
-    return reports.statute_pages(view(spark, sf, "cases"))
+    return reports.statute_pages(view(spark, sf, "cases")).withColumn("latest", F.coalesce("latest", F.lit(-1)))
 
 
 @query("category_filter", "SELECT id, section, outcome FROM cases WHERE section = 'courts_case_law' AND outcome = 'Consultation'")
