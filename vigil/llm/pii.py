@@ -222,7 +222,7 @@ def _synthetic(rng: random.Random, n: int) -> list[tuple[str, list[Span]]]:
         return rng.choice(["password", "passwort", "Passwort", "pwd", "passphrase", "Password", "kennwort", "mot de passe", "secret"]) + rng.choice(["=", ": ", " = ", " : "])
 
     def wanted() -> tuple[str, str, str, str]:
-        k = rng.randrange(27)
+        k = rng.randrange(30)
         sep = rng.choice([".", "/", " ", "-"])
         return [
             lambda: ("password=", pick(hexes, rng.randint(8, 24)), "", "secret"),
@@ -251,6 +251,9 @@ def _synthetic(rng: random.Random, n: int) -> list[tuple[str, list[Span]]]:
             lambda: (rng.choice(["", "tel ", "call "]), "0" + str(rng.randint(1, 9)) + "".join(f"{sep}{num(2)}" for _ in range(4)), "", "phone"),
             lambda: (rng.choice(["", "tel ", "call "]), f"0{rng.randint(1, 9)}{num(rng.randint(1, 3))}{rng.choice(['/', ' ', '-', ' / '])}{num(rng.randint(5, 8))}", "", "phone"),
             lambda: ("", f"{pick(hexes, 4)}:{pick(hexes, rng.randint(1, 4))}::{rng.choice(['', pick(hexes, rng.randint(1, 4)) + ':'])}{rng.choice('123456789')}{pick(hexes, rng.randint(0, 3))}", "", "ip"),
+            lambda: (rng.choice(["token: ", "password=", "secret = "]), ".".join(pick(alnum, rng.randint(20, 400)) for _ in range(3)), "", "secret"),
+            lambda: ("", rng.choice("xa0") * rng.choice([0, 0, 20, 300]) + pick(alnum, rng.randint(100, 900)), "", "secret"),
+            lambda: ("", rng.choice(["sk-", "ghp_"]) + pick(alnum, rng.randint(40, 900)), "", "secret"),
             lambda: ("", f"fe80::{pick(hexes, 4)}:{rng.choice('0123456789')}{pick(hexes, 3)}", "", "ip"),
         ][k]()
 
@@ -342,8 +345,11 @@ def detector(seed: int = 11) -> Detector:
         x, y, kinds = [], [], []
         for text, spans in _synthetic(rng, n):
             for c in candidates(text):
+                same = any(k == c[2] and abs(s - c[0]) <= 2 and abs(e - c[1]) <= 2 for s, e, k in spans)
+                if not same and any(k == c[2] and s <= c[0] and c[1] <= e for s, e, k in spans):
+                    continue  # a part of what is wanted is neither: the longest of nested spans stays
                 x.append(features(text, c))
-                y.append(float(any(k == c[2] and abs(s - c[0]) <= 2 and abs(e - c[1]) <= 2 for s, e, k in spans)))
+                y.append(float(same))
                 kinds.append(c[2])
         return np.array(x), np.array(y), np.array(kinds)
 
