@@ -250,3 +250,10 @@ GENERIC_NAME_WORDS = ["india", "indian", "limited", "ltd", "private", "pvt", "ba
 # names that give no useful watch, and the topical words a watch is paired with
 WATCH_SKIPPED = ["unknown", "industry-wide", "generic"]
 WATCH_ANCHOR = "(data OR privacy OR breach OR penalty OR DPDP OR CERT-In)"
+
+# fixed texts of records made without a model
+NEEDS_REVIEW = "[Needs review]"
+NEEDS_REVIEW_SOURCE = "[Needs review — see source]"
+AUTO_FLAGGED = "[Auto-flagged — verify]"
+AUTO_RESOLVED = "Auto-flagged possible resolution — verify."
+AUTO_DETECTED, SNIPPET = "AUTO-DETECTED: ", "Snippet: "

@@ -82,12 +82,12 @@ def heuristic_record(items: DataFrame) -> DataFrame:
         {
             "is_genuine_enforcement": F.lit(True),
             "x_authority": F.lit("Unknown"),
-            "x_company": F.lit("[Needs review — see source]"),
+            "x_company": F.lit(L.NEEDS_REVIEW_SOURCE),
             "x_sector": T.sector_of(F.lower(both)),
-            "x_violation": F.lit("[Auto-flagged — verify]"),
+            "x_violation": F.lit(L.AUTO_FLAGGED),
             "x_penalty": F.trim(F.regexp_extract(both, L.EXTRACTED_MONEY, 0)),
             "x_outcome": F.lit("Investigation Ongoing"),
-            "x_summary": F.concat(F.lit("AUTO-DETECTED: "), T.filled("title"), F.lit(". Snippet: "), F.left(T.filled("summary"), F.lit(280))),
+            "x_summary": F.concat(F.lit(L.AUTO_DETECTED), T.filled("title"), F.lit(f". {L.SNIPPET}"), F.left(T.filled("summary"), F.lit(280))),
             "x_confidence": F.lit("low"),
         }
     )
@@ -109,7 +109,7 @@ def candidate_rows(extracted: DataFrame, as_of: Column) -> DataFrame:
         "arrival_idx",
         F.coalesce(F.try_element_at(known, F.col("x_authority")), T.section_of(text, "x_authority")).alias("section"),
         F.coalesce(F.nullif(F.col("x_authority"), F.lit("")), F.lit("Unknown")).alias("authority"),
-        F.coalesce(F.nullif(F.col("x_company"), F.lit("")), F.lit("[Needs review]")).alias("company"),
+        F.coalesce(F.nullif(F.col("x_company"), F.lit("")), F.lit(L.NEEDS_REVIEW)).alias("company"),
         sector.alias("sector"),
         F.lit(True).alias("needs_review"),
         strong.alias("confidence"),

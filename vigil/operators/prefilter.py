@@ -36,10 +36,11 @@ def histogram(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("keep")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_per(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
-    """The first row of each key in the given order, by aggregation: a hot key is no task's whole load."""
+def first_per(rows: DataFrame, key: str, order: list[Column | str], count: str | None = None) -> DataFrame:
+    """The first row of each key in the given order, and the key's count of rows if it is named; by one aggregation: a hot key is no task's whole load."""
     packed = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(packed, F.struct(*order)).alias("_r")).select("_r.*")
+    counts = [F.count(F.lit(1)).alias(count)] if count else []
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(packed, F.struct(*order)).alias("_r"), *counts).select("_r.*", *([count] if count else []))
 
 
 def candidates(scored: DataFrame, cap: int = 15) -> DataFrame:

@@ -98,8 +98,8 @@ def time_ago(seconds: Column) -> Column:
 
 def decision_texts(rows: DataFrame) -> DataFrame:
     """Title and snippet of a decision on an automatic summary: what stands before and after its marker, 200 and 500 signs at most."""
-    parts = F.split(T.filled("summary"), "Snippet: ", 2)
-    head = F.regexp_replace(F.get(parts, F.lit(0)), "^AUTO-DETECTED: ", "")
+    parts = F.split(T.filled("summary"), L.SNIPPET, 2)
+    head = F.regexp_replace(F.get(parts, F.lit(0)), f"^{L.AUTO_DETECTED}", "")
     return rows.select("arrival_idx", F.left(head, F.lit(200)).alias("title"), F.left(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit(500)).alias("snippet"))
 
 

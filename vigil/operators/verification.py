@@ -148,7 +148,7 @@ def resolution_patch(cases: DataFrame, results: DataFrame, words: list[str]) ->
     return cases.join(found, "id", "left").select(
         "id",
         changed(F.lit("Fine Imposed"), F.col("outcome")).alias("outcome"),
-        changed(F.lit("Auto-flagged possible resolution — verify."), F.lit("")).alias("notes"),
+        changed(F.lit(L.AUTO_RESOLVED), F.lit("")).alias("notes"),
         changed(T.filled("official"), F.col("official_source_url")).alias("official_source_url"),
         F.lit(True).alias("stamped"),
     )

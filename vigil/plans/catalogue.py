@@ -195,16 +195,12 @@ def _(spark, sf):
 
 @query("exact_url_dedup", "SELECT url, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY url")
 def _(spark, sf):
-    p = table(spark, sf, "pages")
-    first = prefilter.first_per(p.select("url", "page_id"), "url", ["page_id"])
-    return first.join(p.groupBy("url").agg(F.count(F.lit(1)).alias("n")), "url")
+    return prefilter.first_per(table(spark, sf, "pages").select("url", "page_id"), "url", ["page_id"], "n")
 
 
 @query("first_page_of_host", "SELECT host, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) GROUP BY host")
 def _(spark, sf):
-    p = table(spark, sf, "pages").withColumn("host", urls.host("url"))
-    first = prefilter.first_per(p.select("host", "page_id"), "host", ["page_id"])
-    return first.join(p.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host")
+    return prefilter.first_per(table(spark, sf, "pages").select(urls.host("url").alias("host"), "page_id"), "host", ["page_id"], "n")
 
 
 _BARE = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
