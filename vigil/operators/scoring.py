@@ -64,6 +64,14 @@ def breakdown(items: DataFrame, as_of: Column, tracked: list[str] | None = None,
     rows = signals(tracked)
     total = reduce(lambda a, b: a + b, (F.col(f"_p_{n}") for n, _, _ in rows))
     row = lambda n, p, d: F.struct(F.lit(n).alias("signal"), p.cast("int").alias("points"), d.alias("detail"))
-    all_ = [row(n, F.col(f"_p_{n}"), d) for n, _, d in rows] + [row("cap", F.least(F.lit(0), F.lit(cap) - total), F.lit("")), row("recency", recency(), F.lit(""))]
+    # looked up for those that fired alone, which are few
+    all_ = [row(n, F.col(f"_p_{n}"), F.when(F.col(f"_p_{n}") != 0, d)) for n, _, d in rows] + [row("cap", F.least(F.lit(0), F.lit(cap) - total), F.lit("")), row("recency", recency(), F.lit(""))]
     out = prepared(items, as_of).withColumns({f"_p_{n}": p for n, p, _ in rows})
     return out.withColumn("signals", F.filter(F.array(*all_), lambda s: s["points"] != 0)).select(*items.columns, "signals")
+
+
+def fired(items: DataFrame, as_of: Column, tracked: list[str] | None = None, cap: int = 20) -> DataFrame:
+    """The items with a row (signal, points, detail) for each signal of `breakdown`; items without any have none."""
+    # an inner explode would have Spark filter on the size of `signals` below it, with every signal and the age written out anew for each use
+    rows = breakdown(items, as_of, tracked, cap).withColumn("_s", F.explode_outer("signals"))
+    return rows.where(F.col("_s").isNotNull()).select(*items.columns, "_s.*")
