@@ -18,9 +18,11 @@ def brief(cases: DataFrame, period: str) -> DataFrame:
     return total.crossJoin(top).select(F.lit(period).alias("period"), body.alias("body"))
 
 
-def tracked_terms(entities: DataFrame, order: str, most: int = 60) -> DataFrame:
-    """(term) of the first `most` entities (name, aliases): each name and alias of four signs or more, its first word that identifies, and the first two."""
-    few = entities.where(F.trim(T.filled("name")) != "").orderBy(order).limit(most)
+def tracked_terms(entities: DataFrame, order: str, most: int | None = 60) -> DataFrame:
+    """(term) of the first `most` entities (name, aliases), or of all if it is None: each name and alias of four signs or more, its first word that identifies, and the first two."""
+    few = entities.where(F.trim(T.filled("name")) != "")
+    if most is not None:
+        few = few.orderBy(order).limit(most)
     said = few.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("v")).select(F.lower(F.trim("v")).alias("v"))
     words = F.filter(F.split(T.squeeze(F.regexp_replace("v", "[/-]", " ")), " "), lambda t: (F.length(t) >= 4) & ~F.array_contains(T.strings(lexicons.GENERIC_NAME_WORDS), t))
     both = said.select("v", words.alias("w"))

@@ -347,14 +347,14 @@ def _(spark, sf):
     return insights.alert_payload(view(spark, sf, "stories"))
 
 
-_LISTED = f"(SELECT lower(trim(unnest([company, concat(authority, '/', sector)]))) AS v FROM (SELECT * FROM cases WHERE trim(company) <> '' ORDER BY arrival_idx LIMIT 60))"
+_LISTED = f"(SELECT lower(trim(unnest([company, concat(authority, '/', sector)]))) AS v FROM (SELECT * FROM cases WHERE trim(company) <> ''))"
 _KEPT = f"list_filter(regexp_split_to_array(trim(regexp_replace(v, '[/\\s-]+', ' ', 'g')), ' '), lambda w: len(w) >= 4 AND w NOT IN ({lst(L.GENERIC_NAME_WORDS)}))"
 
 
 @query("tracked_terms", f"SELECT DISTINCT term FROM (SELECT v AS term FROM {_LISTED} UNION ALL SELECT t[1] FROM (SELECT {_KEPT} AS t FROM {_LISTED}) UNION ALL SELECT concat(t[1], ' ', t[2]) FROM (SELECT {_KEPT} AS t FROM {_LISTED}) WHERE len(t) > 1) WHERE len(term) >= 4")
 def _(spark, sf):
     c = view(spark, sf, "cases").select(F.col("company").alias("name"), F.array(F.concat("authority", F.lit("/"), "sector")).alias("aliases"), "arrival_idx")
-    return insights.tracked_terms(c, "arrival_idx")
+    return insights.tracked_terms(c, "arrival_idx", None)
 
 
 @query("calendar", f"SELECT date, title, curated, CAST(datediff('day', DATE '1998-01-01', CAST(date AS DATE)) AS INT) AS days_away FROM (SELECT date, company AS title, true AS curated FROM cases WHERE id % 50 = 0 UNION ALL SELECT date, company, false FROM cases WHERE id % 50 <> 0 AND date NOT IN (SELECT date FROM cases WHERE id % 50 = 0))")
