@@ -28,7 +28,10 @@ def days_old(published: Text, as_of: Column, unknown: int = 30) -> Column:
 
 def variants(date: Text) -> Column:
     """How a date may be written in a text, in lower case."""
-    d = as_date(date)
+    return spellings(as_date(date))
+
+
+def spellings(d: Column) -> Column:
     forms = ["yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "dd/MM/yyyy", "dd-MM-yyyy"]
     return F.array(*[F.lower(F.date_format(d, f)) for f in forms])
 

@@ -12,7 +12,10 @@ from ..functions import text as T
 
 def entity_in_text(name: str, text: str) -> Column:
     """Distinctive tokens at word starts: one of one, else at least two and half of them."""
-    toks, low = T.distinctive_tokens(name), F.concat(F.lit(" "), F.regexp_replace(F.lower(T.filled(text)), "[^a-z0-9_]", " "))
+    return tokens_in(T.distinctive_tokens(name), F.concat(F.lit(" "), F.regexp_replace(F.lower(T.filled(text)), "[^a-z0-9_]", " ")))
+
+
+def tokens_in(toks: Column, low: Column) -> Column:
     n = F.size(toks)
     found = F.size(F.filter(toks, lambda t: F.contains(low, F.concat(F.lit(" "), t))))
     return F.when(n == 0, False).when(n == 1, found >= 1).otherwise(found >= F.greatest(F.lit(2), F.floor((n + 1) / 2)))
@@ -22,14 +25,15 @@ def match(rows: DataFrame, least: int = 100, tolerance: float = 0.02) -> DataFra
     """rows: company, penalty, date, document. Adds the three matches, verified and strength."""
     long_enough = F.length(T.filled("document")) >= least
     claim = money.largest(money.amounts("penalty"))
-    entity = long_enough & entity_in_text("company", "document")
+    entity = long_enough & tokens_in(F.col("_toks"), F.col("_flat"))
     amount = long_enough & F.col("_claim").isNotNull() & F.exists(money.amounts("document"), lambda a: money.close_to(a, F.col("_claim"), tolerance))
-    low = F.lower(T.filled("document"))
-    dated = long_enough & F.coalesce(F.exists(dates.variants("date"), lambda v: F.contains(low, v)), F.lit(False))
-    out = rows.withColumn("_claim", claim).withColumns({"entity_matched": entity, "amount_matched": F.coalesce(amount, F.lit(False)), "date_matched": dated})
+    dated = long_enough & F.coalesce(F.exists(dates.spellings(F.col("_day")), lambda v: F.contains(F.col("_low"), v)), F.lit(False))
+    # columns of their own: within a lambda each would be computed anew for every token or spelling
+    out = rows.withColumns({"_claim": claim, "_toks": T.distinctive_tokens("company"), "_low": F.lower(T.filled("document")), "_day": dates.as_date("date")})
+    out = out.withColumn("_flat", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z0-9_]", " "))).withColumns({"entity_matched": entity, "amount_matched": F.coalesce(amount, F.lit(False)), "date_matched": dated})
     verified = F.col("entity_matched") & (F.col("amount_matched") | F.col("date_matched"))
     strength = F.when(F.col("entity_matched") & F.col("amount_matched"), "strong").when(verified, "moderate").otherwise("weak")
-    return out.drop("_claim").withColumns({"verified": verified, "strength": strength})
+    return out.drop("_claim", "_toks", "_low", "_day", "_flat").withColumns({"verified": verified, "strength": strength})
 
 
 def tier(row_tier: str, official: str, source: str) -> Column:
