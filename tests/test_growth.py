@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions import markup
 from vigil.functions import text as T
 from vigil.plans import catalogue
+from vigil.sources.tables import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,32 @@ def test_folding_equals_decomposition_and_is_fast(spark):
     for t, f in got:
         assert f == unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
     assert seconds < 30
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tracked_terms_of_all_cases(spark):
+    names = {r.v for r in view(spark, SF, "cases").select(F.lower(F.trim("company")).alias("v")).distinct().collect()}
+    assert len(names) > 60 and names <= {r.term for r in catalogue.QUERIES["tracked_terms"](spark, SF).collect()}
+
+
+def test_pages_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    catalogue.QUERIES["page_links"](spark, SF)
+    assert int(spark.conf.get(key)) <= 250
+
+
+def test_documents_are_folded_once_for_all_tokens(spark):
+    line = next(x for x in optimized(catalogue.QUERIES["match_document"](spark, SF)).split("\n") if " AS entity_matched" in x)
+    assert "[^a-z0-9_]" not in line and "gettimestamp" not in line
+
+
+def test_case_slugs_fold_each_name_once(spark):
+    df = spark.createDataFrame([("", None, "2024-05-06"), ("Ünit Ltd", "Board X", None)], "c string, a string, d string")
+    got = df.select(T.case_slug("c", "a", "d").alias("s"))
+    assert [r.s for r in got.collect()][0] == "case-case-202405"
+    df = spark.read.parquet(f"{SF}/customer.parquet").select(T.case_slug("c_name", "c_mktsegment", "c_name").alias("s"))
+    assert optimized(df).count("translate(") == 2
