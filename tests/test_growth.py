@@ -1,12 +1,17 @@
 """Cases that larger tables showed: plans that write an expression out too often, cut pages, work that grows faster than its input."""
 
+import math
+import random
 import time
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from vigil.functions import lexicons as L
 from vigil.functions import markup
 from vigil.functions import text as T
+from vigil.operators import dedup
 from vigil.plans import catalogue
 from vigil.sources.tables import view
 
@@ -65,3 +70,30 @@ def test_case_slugs_fold_each_name_once(spark):
     assert [r.s for r in got.collect()][0] == "case-case-202405"
     df = spark.read.parquet(f"{SF}/customer.parquet").select(T.case_slug("c_name", "c_mktsegment", "c_name").alias("s"))
     assert optimized(df).count("translate(") == 2
+
+
+def test_pairs_leave_their_blocks_verified(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_TERMS", 2000)
+    r = random.Random(3)
+    words = [f"word{k}" for k in range(400)]
+    base = [[r.choice(words[: r.choice([20, 100, 400])]) for _ in range(r.choice([2, 5, 30, 200]))] for _ in range(60)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[: len(w) - k], *(r.choice(words) for _ in range(k))]) for w in base for k in (1, 2, 5, 25)] + ["", "the", None, "lone"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:7])], "doc_id long, text string")
+    pairs = dedup.near_duplicates(docs, 0.7)
+    assert " Join " not in optimized(pairs) and "FlatMapGroupsInArrow" in optimized(pairs)
+    first = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            first.setdefault(t, i)
+    bags = {i: Counter(w for w in t.split() if w not in L.STOP_WORDS) for t, i in first.items()}
+    bags = {i: b for i, b in bags.items() if b}
+    df = Counter(w for b in bags.values() for w in b)
+    unit = {}
+    for i, b in bags.items():
+        v = {w: c * (math.log((1 + len(bags)) / (1 + df[w])) + 1) for w, c in b.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {w: x / norm for w, x in v.items()}
+    want = {(a, b): s for a in unit for b in unit if a < b and (s := sum(x * unit[b].get(w, 0) for w, x in unit[a].items())) >= 0.7}
+    got = {(p.a, p.b): p.similarity for p in pairs.collect()}
+    assert got.keys() == want.keys() and len(want) > 100 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert dedup.near_duplicates(docs.limit(0)).count() == 0
