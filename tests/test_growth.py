@@ -97,3 +97,11 @@ def test_pairs_leave_their_blocks_verified(spark, monkeypatch):
     got = {(p.a, p.b): p.similarity for p in pairs.collect()}
     assert got.keys() == want.keys() and len(want) > 100 and max(abs(got[k] - want[k]) for k in want) < 1e-9
     assert dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_first_joins_no_texts(spark):
+    docs = spark.createDataFrame([(4, "fine data board", 1), (2, "fine data board", 2), (7, None, 3), (8, None, 4), (9, "fine data board rule", 5), (5, "court bank", 6)], "doc_id long, text string, k int")
+    out = dedup.keep_first(docs.select("doc_id", "text"), 0.7).select("doc_id", "duplicate_of")
+    assert not [x for x in optimized(out).split("\n") if " Join " in x and "text#" in x]
+    got = {r.doc_id: r.duplicate_of for r in out.collect()}
+    assert got == {4: 2, 2: None, 7: None, 8: None, 9: 2, 5: None}
