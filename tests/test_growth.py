@@ -13,6 +13,7 @@ from vigil.functions import markup
 from vigil.functions import text as T
 from vigil.operators import dedup
 from vigil.plans import catalogue
+from vigil.sources import scratch
 from vigil.sources.tables import view
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +106,14 @@ def test_keep_first_joins_no_texts(spark):
     assert not [x for x in optimized(out).split("\n") if " Join " in x and "text#" in x]
     got = {r.doc_id: r.duplicate_of for r in out.collect()}
     assert got == {4: 2, 2: None, 7: None, 8: None, 9: 2, 5: None}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    was, before = spark.conf.get(scratch.CLEAN_UP, "false"), files()
+    table = scratch.stored(spark.range(10000).withColumn("k", F.col("id") % 100).repartition(7, "k"))
+    assert spark.conf.get(scratch.CLEAN_UP, "false") == was
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.5)
+    assert files() <= before and table.count() == 10000
