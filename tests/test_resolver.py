@@ -1,6 +1,7 @@
 """Entity resolution with feedback, slugs and related entities against sequential replays."""
 
 import random
+from collections import Counter
 import re
 import unicodedata
 
@@ -126,3 +127,24 @@ def test_only_listed_sections_are_cited(spark):
     texts = ["Section 21 and Section 9", "Sec. 8(5) DPDP Act", "IT Act Section 43A", "section 33, s. 33, sec 27", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.citations("t").alias("c")).collect()
     assert [r.c for r in rows] == [["9"], ["8"], [], ["33", "27"], []]
+
+
+def test_related_entities_have_tasks_by_their_pairs(spark, monkeypatch):
+    links = spark.createDataFrame([(e, f"n{(e * k) % 37}") for e in range(40) for k in range(9)] + [(None, "n1"), (3, None)], "event_id long, entity string")
+    seen = spark.createDataFrame([(f"n{k}", 37 - k) for k in range(37)], "entity string, first_seen int")
+    by_event, shared = {}, Counter()
+    for e, n in links.where("event_id IS NOT NULL AND entity IS NOT NULL").collect():
+        by_event.setdefault(e, set()).add(n)
+    for of in by_event.values():
+        shared.update((a, b) for a in of for b in of if a != b)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 100)
+    pairs = sum(9 * 8 for _ in by_event)  # repeated links count too
+    for block, given in ((1000, None), (1000, seen), (4, None), (4, seen)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        out = graph.related_entities(links, 5, given)
+        assert out.rdd.getNumPartitions() >= pairs // 100  # 4 by the session
+        want = set()
+        for a in {a for a, _ in shared}:
+            mine = sorted((-n, 37 - int(b[1:]) if given is not None else 0, b) for (x, b), n in shared.items() if x == a)[:5]
+            want |= {(a, b, -n, i + 1) for i, (n, _, b) in enumerate(mine)}
+        assert {tuple(r) for r in out.collect()} == want

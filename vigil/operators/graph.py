@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import money
 from ..functions import text as T
+from ..sources import scratch
 
 BLOCK = 1000
+TASK_PAIRS, MOST_TASKS, LANES = 1_000_000, 20_000, 8
 
 
 def alias_join(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -65,18 +69,35 @@ def rollup(cases: DataFrame) -> DataFrame:
 def related_entities(links: DataFrame, most: int = 12, first_seen: DataFrame | None = None) -> DataFrame:
     """Entities that share an event, by how many, then as first seen if (entity, first_seen) is given, else by name; `most` of each. links: (event_id, entity).
 
-    An event of very many entities is dealt out in blocks of BLOCK: every block meets every other one in a task of its own.
+    Tasks are as many as the pairs ask for, about TASK_PAIRS to each, whatever the session's number of shuffle partitions. An event of very many entities is
+    dealt out in blocks of BLOCK: every two blocks meet in a task of their own. Pairs are counted in the task that made them, then added up; an entity's related ones
+    are ranked in LANES lanes first.
     """
-    x = links.select("event_id", "entity").distinct()
-    block = F.pmod(F.xxhash64("entity"), F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK)))
-    sized = x.join(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("k")), "event_id").withColumns({"block": block, "blocks": F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK))})
-    left = sized.select("event_id", "entity", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    right = sized.select("event_id", F.col("entity").alias("related"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    both = left.join(right, ["event_id", "block", "other"]).where("entity <> related").groupBy("entity", "related").agg(F.count(F.lit(1)).alias("shared"))
+    x = links.select("event_id", "entity").where("event_id IS NOT NULL AND entity IS NOT NULL")
+    sizes, k = Observation(), F.col("k")
+    counts = x.groupBy("event_id").agg(F.count(F.lit(1)).alias("k")).observe(sizes, F.sum(k.cast("double") * (k - 1)).alias("pairs"), F.count_if(k > BLOCK).alias("big"))
+    big = scratch.stored(counts.where(k > BLOCK).select("event_id", F.ceil(k / BLOCK).cast("int").alias("blocks")))
+    tasks = min(MOST_TASKS, max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((sizes.get["pairs"] or 0) / TASK_PAIRS)))
+    if sizes.get["big"]:
+        sized = x.join(big, "event_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = sized.select("event_id", "entity", F.pmod(F.xxhash64("entity"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    else:
+        dealt = x.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})
+    cell = F.pmod(F.xxhash64("event_id", "lo", "hi"), F.lit(tasks)).cast("int")
+    met = dealt.withColumn("cell", cell).repartitionById(tasks, F.col("cell")).groupBy("cell", "event_id", "lo", "hi").agg(F.collect_set(F.struct("block", "entity")).alias("of"))
+    pairs = met.select("cell", "lo", "hi", "of", F.explode("of").alias("a")).select("cell", "lo", "hi", "a", F.explode("of").alias("b")).where("a.block = lo AND b.block = hi AND (lo < hi OR a.entity < b.entity)")
+    shared = pairs.groupBy("cell", F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    ways = [F.struct(F.col(p).alias("entity"), F.col(q).alias("related")) for p, q in ("ab", "ba")]
+    both = shared.select(F.explode(F.array(*ways)).alias("p"), "n").select("p.entity", "p.related", F.pmod(F.xxhash64("p.related"), F.lit(LANES)).alias("lane"), "n")
+    both = both.repartition(tasks, "entity", "lane").groupBy("entity", "lane", "related").agg(F.sum("n").alias("shared"))
     if first_seen is not None:
-        both = both.join(first_seen.select(F.col("entity").alias("related"), "first_seen"), "related")
-    w = Window.partitionBy("entity").orderBy(F.desc("shared"), *(["first_seen"] if first_seen is not None else []), "related")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("entity", "related", "shared", "rank")
+        seen = first_seen.select(F.col("entity").alias("related"), "first_seen")
+        both = both.repartition(tasks, "related").join(seen, "related").repartition(tasks, "entity", "lane")
+    order = [F.desc("shared"), *(["first_seen"] if first_seen is not None else []), "related"]
+    few = both.withColumn("rank", F.row_number().over(Window.partitionBy("entity", "lane").orderBy(*order))).where(F.col("rank") <= most)
+    best = few.repartition(tasks, "entity").withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(*order)))
+    return best.where(F.col("rank") <= most).select("entity", "related", "shared", "rank")
 
 
 def contradictions(claims: DataFrame) -> DataFrame:
