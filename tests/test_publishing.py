@@ -65,6 +65,31 @@ def test_search_equals_brute_force(spark):
     assert search.index_provider(pages.limit(0))(asked).count() == 0
 
 
+def test_postings_are_dealt_by_page_and_only_the_asked_ones(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["penalty", "bank", "data", "board", "notice", "appeal", "fine"]
+    rows = [(i % 70, " ".join(r.choice(words) for _ in range(r.randint(0, 30)))) for i in range(90)] + [(None, "bank data"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    asked = spark.createDataFrame([(i, " ".join(r.sample(words, 2))) for i in range(8)] + [(8, "unknown")], "qid long, query string")
+    monkeypatch.setattr(search, "TASK_CHARS", 500)
+    monkeypatch.setattr(search, "TASK_SCORES", 50)
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0, raising=False)
+    index = search.Index(docs, "doc", "text")
+    joined = [tuple(x) for x in index.search(asked, 4).orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 100, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = index.search(asked, 4)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(x) for x in out.orderBy("qid", "rank").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(qid#" in plan
+    assert "hashpartitioning" in plan and plan.count("hashpartitioning(") == 1  # the best of each query; the scores stay where their page is
+    assert [x[:3] for x in got] == [x[:3] for x in joined] and len(got) == 32
+
+
 def test_a_chain_asks_the_next_provider_for_what_is_left(spark):
     asked = []
 

@@ -3,15 +3,17 @@
 A provider takes queries (qid, query, sites: array<string>) and gives results (qid, rank, url, title, summary), as a web service's would. index_provider() searches a
 table of pages. In a chain, queries that one provider has no results for go to the next.
 
-Postings are joined on the term. Scores are added by (query, page), so a frequent term's postings are reduced before anything is ranked, and the best are taken
-in LANES lanes of each query first: a query that most pages match is no one task's load.
+Pages are dealt out once, as texts: terms are counted where their page is. Postings are joined on the term. If the asked terms are few (BROADCAST_TERMS), only their
+postings are dealt out, by page; all scores of a page are added in one task, and each task keeps its best of each query. Else scores are added by (query, page) over a
+shuffle, and the best are taken in LANES lanes of each query first: a query that most pages match is no one task's load. Tasks grow with the text and with the scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -22,15 +24,22 @@ from . import events
 
 K1, B = 1.2, 0.75
 LANES = 64
+TASK_CHARS, TASK_SCORES, MOST_TASKS, BROADCAST_TERMS = 8_000_000, 1_000_000, 20_000, 200_000
 RESULT = "qid string, rank int, url string, title string, summary string"
 Provider = Callable[[DataFrame], DataFrame]
 
 
+def _tasks(spark: SparkSession, size: float, of: int) -> int:
+    return min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / of)))
+
+
 class Index:
     """postings (term, doc, tf, len), terms (term, idf) and the mean length. Documents without terms are never found."""
 
     def __init__(self, docs: DataFrame, doc: str, text: str):
-        words = docs.select(F.col(doc).alias("doc"), T.tokens(text).alias("w")).where(F.size("w") > 0)
+        texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+        chars = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        words = texts.repartition(_tasks(docs.sparkSession, chars, TASK_CHARS), "doc").select("doc", T.tokens("text").alias("w")).where(F.size("w") > 0)
         rows = words.select("doc", F.size("w").alias("len"), F.explode("w").alias("term"))
         self.postings = scratch.stored(rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
         total = self.postings.select("doc", "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
@@ -40,13 +49,21 @@ class Index:
 
     def search(self, queries: DataFrame, k: int = 10, only: DataFrame | None = None) -> DataFrame:
         """(qid, rank, doc, score): the k best documents of each query (qid, query) by BM25; equal scores by doc. only: (qid, doc) restricts a query's."""
-        asked = queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term")).join(self.terms, "term")
+        asked = scratch.stored(queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term")).join(self.terms, "term"))
+        size = asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("qid").alias("queries")).first()
+        hashed = F.xxhash64("doc")
+        if size["terms"] <= BROADCAST_TERMS:
+            n = _tasks(asked.sparkSession, self.count * size["queries"], TASK_SCORES)
+            wanted = self.postings.join(F.broadcast(asked.select("term")), "term", "left_semi")
+            wanted = wanted.withColumn("cell", F.pmod(hashed, F.lit(n)).cast("int")).repartitionById(n, F.col("cell")).join(F.broadcast(asked), "term")
+        else:
+            wanted = self.postings.join(asked, "term").withColumn("cell", F.pmod(hashed, F.lit(LANES)).cast("int"))
         norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / self.mean)
-        scored = self.postings.join(asked, "term").withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / norm).groupBy("qid", "doc").agg(F.sum("s").alias("score"))
+        scored = wanted.withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / norm).groupBy("qid", "cell", "doc").agg(F.sum("s").alias("score"))
         if only is not None:
             scored = scored.join(only, ["qid", "doc"], "left_semi")
-        lane = Window.partitionBy("qid", F.pmod(F.xxhash64("doc"), F.lit(LANES))).orderBy(F.desc(F.round("score", 9)), "doc")
-        few = scored.withColumn("_n", F.row_number().over(lane)).where(F.col("_n") <= k).drop("_n")
+        cell = Window.partitionBy("qid", "cell").orderBy(F.desc(F.round("score", 9)), "doc")
+        few = scored.withColumn("_n", F.row_number().over(cell)).where(F.col("_n") <= k).drop("_n")
         best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc")
         return few.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
 
