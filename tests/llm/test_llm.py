@@ -464,3 +464,17 @@ def test_pipeline(spark, tmp_path):
     assert {900, 901, 902}.isdisjoint(ids) and 0 in ids and got.doc_id.is_unique and got.round_trip.all()
     assert set(SCHEMA.replace(" long", "").replace(" string", "").split(", ")) <= set(got.columns)
     assert isinstance(got, pd.DataFrame) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_only_texts_that_may_lose_lines_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}\nsecond of {i}") for i in range(40)] + [(40, "a3 b3 c3 d3\nmine only, forty"), (41, None)], "doc_id long, text string")
+    keyed = docs.withColumn("key", F.xxhash64("doc_id"))
+    wanted = keyed.where("doc_id % 5 = 0")
+    some, rest = ({r.doc_id for r in f(keyed, wanted, "key").collect()} for f in (common.maybe_in, common.not_in))
+    assert some | rest == set(range(42)) and not some & rest and {i for i in range(42) if i % 5 == 0} <= some and len(rest) > 20
+    assert {r.doc_id for r in common.not_in(keyed, wanted.limit(0), "key").collect()} == set(range(42))
+    out = lines.dedup_lines(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join LeftOuter, (key") == 1
+    got = {r.doc_id: (r.text, r._n_dropped) for r in out.collect()}
+    assert got[40] == ("mine only, forty", 1) and got[41] == (None, 0) and sum(n for _, n in got.values()) == 1 and len(got) == 42

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import common
 
 LEAST_WORDS = 1
@@ -81,22 +82,24 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     rows = exploded(docs).select("doc_id", "text_hash", "line_no", line_words("line").alias("w"))
     rows = rows.select("doc_id", "text_hash", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("h2"), _half_keys("w").alias("keys"))
     # filtered when read again: before, the filter would split every line once more
-    stored = common.materialise(rows)
+    stored = scratch.stored(rows)
     rows = stored.where(F.col("n") >= LEAST_WORDS)
     # equal rows of documents count once
     least = F.min(F.struct("at.*", "keys")).alias("f")
     groups = rows.withColumn("at", order).groupBy(*line_id).agg(least, F.max("at").alias("last"), F.count(F.lit(1)).alias("k"))
     groups = groups.select(*line_id, F.struct("f.d", "f.t", "f.l").alias("first"), "last", "k", F.col("f.keys").alias("keys"))
-    groups = common.materialise(groups.withColumn("again", F.col("first") != F.col("last")).drop("last"))
+    groups = scratch.stored(groups.withColumn("again", F.col("first") != F.col("last")).drop("last"))
     halves = groups.where("keys IS NOT NULL").select(*line_id, F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
-    near = common.join_hot(halves, common.materialise(shared), "key").select(*line_id).distinct()
-    near = common.materialise(near.join(groups.select(*line_id, "first"), line_id))
+    shared = scratch.stored(shared)
+    near = common.join_hot(halves, shared, "key").select(*line_id).distinct()
+    near = scratch.stored(near.join(groups.select(*line_id, "first"), line_id))
 
     places = near.select(F.col("first.t").alias("text_hash"), F.col("first.l").alias("line_no"))
     words = only_of(exploded(docs), places).select(order.alias("at"), line_words("line").alias("w")).withColumns({"h": F.xxhash64("w"), "h2": F.xxhash64("w", F.lit(1))})
     lines = words.join(near.select(*line_id, F.col("first").alias("at")), [*line_id, "at"]).groupBy(*line_id).agg(F.first("at").alias("at"), F.first("w").alias("w"))
-    lines = common.materialise(lines)
+    lines = scratch.stored(lines)
+    scratch.discard(near, shared)
     # a hash of words by place, joined by exclusive or: without the word at a place, those after it count one place less
     each = lines.select(*line_id, "at", F.posexplode("w").alias("p", "word")).withColumns({"here": F.xxhash64("word", "p"), "moved": F.xxhash64("word", F.col("p") - 1)})
     line = Window.partitionBy(*line_id)
@@ -107,23 +110,29 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     entry = lambda place, k: F.struct(place.alias("place"), k.alias("key"))
     own = F.array(entry(F.col("p") + 1, key))
     both = F.when(F.col("p") == 0, F.array(entry(F.col("p") + 1, key), entry(F.lit(0), F.col("whole")))).otherwise(own)
-    variants = common.materialise(each.select("at", F.explode(both).alias("v")).select("at", F.xxhash64("v.key", "v.place").alias("twin"), "v.place", "v.key"))
-    twins = variants.groupBy("key", "place").agg(F.min("at").alias("same"), F.count(F.lit(1)).alias("k"))
-    keys = twins.groupBy("key").agg(F.min("same").alias("any"), F.min(F.when(F.col("place") == 0, F.col("same"))).alias("whole"))
+    variants = scratch.stored(each.select("at", F.explode(both).alias("v")).select("at", F.xxhash64("v.key", "v.place").alias("twin"), "v.place", "v.key"))
+    # a key of one variant tells nothing: counted by the keys alone, so that few variants are dealt out with their places
+    met = scratch.stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"))
+    twins = common.maybe_in(variants, met, "key").groupBy("key", "place").agg(F.min("at").alias("same"), F.count(F.lit(1)).alias("k"))
+    of_key = Window.partitionBy("key")  # as many rows as the key has places
+    keys = {"any": F.min("same").over(of_key), "whole": F.min(F.when(F.col("place") == 0, F.col("same"))).over(of_key)}
     before = F.when(F.col("place") == 0, F.col("any")).otherwise(F.least("same", "whole"))
     # a line's earliest candidates: those equal to the line itself go at once, and with them keys of one line
-    earliest = common.materialise(twins.join(keys, "key").select(F.xxhash64("key", "place").alias("twin"), before.alias("before"), "k").where((F.col("k") > 1) | (F.col("before") != F.col("same"))))
-    candidates = common.join_hot(variants.select("twin", "at"), earliest, "twin").where(F.col("before") < F.col("at")).select("at", "before").distinct()
+    earliest = scratch.stored(twins.withColumns(keys).select(F.xxhash64("key", "place").alias("twin"), before.alias("before"), "k").where((F.col("k") > 1) | (F.col("before") != F.col("same"))))
+    again = common.maybe_in(variants.select("twin", "at"), earliest, "twin")
+    candidates = common.join_hot(again, earliest, "twin").where(F.col("before") < F.col("at")).select("at", "before").distinct()
+    candidates = scratch.stored(candidates)
+    scratch.discard(variants, met, earliest)
     other = lines.select(F.col("at").alias("before"), F.col("w").alias("y"), F.lit(1).alias("one"))
     mine = lines.select(*line_id, "at", F.col("w").alias("x"))
-    pairs = common.join_hot(common.materialise(candidates), other.drop("one"), "before").join(mine, "at")
-    flagged = common.materialise(pairs.where(one_edit(F.col("x"), F.col("y"))).select(*line_id, F.lit(True).alias("near")).distinct())
+    pairs = common.join_hot(candidates, other.drop("one"), "before").join(mine, "at")
+    flagged = scratch.stored(pairs.where(one_edit(F.col("x"), F.col("y"))).select(*line_id, F.lit(True).alias("near")).distinct())
 
     judged = groups.select(*line_id, "first", "again", "k").join(flagged, line_id, "left").where("again OR near")
-    judged = common.materialise(judged.select(F.struct(*line_id).alias("line"), "first", F.coalesce("near", F.lit(False)).alias("near"), "k"))
+    judged = scratch.stored(judged.select(F.struct(*line_id).alias("line"), "first", F.coalesce("near", F.lit(False)).alias("near"), "k"))
     gone = common.join_hot(rows.select("doc_id", "text_hash", "line_no", F.struct(*line_id).alias("line")), judged, "line").where(F.col("near") | (order != F.col("first")))
-    gone = common.materialise(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
-    common.discard(stored, groups, near, lines, variants, earliest, flagged, judged)
+    gone = scratch.stored(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
+    scratch.discard(stored, groups, lines, candidates, flagged, judged)
     return gone
 
 
@@ -131,7 +140,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their dropped lines cut out of `text`; adds _n_lines and _n_dropped (in place of columns of those names)."""
     names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
     gone = dropped_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id", "text_hash").alias("key"), "gone")
-    rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")).join(gone, "key", "left")
+    rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+    # only texts that may lose lines are dealt out to meet their places
+    rows = common.maybe_in(rows, gone, "key").join(gone, "key", "left").unionByName(common.not_in(rows, gone, "key").withColumn("gone", F.lit(None).cast("array<int>")))
     text, lines = F.col("doc.text"), F.col("lines")
     # not deterministic, so that Spark writes it into no filter or lambda: once, not for each line
     rows = rows.withColumn("lines", F.split(text, "\n", F.when(F.monotonically_increasing_id() < 0, 0).otherwise(-1)))
