@@ -6,6 +6,7 @@ import time
 import unicodedata
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.functions import lexicons as L
@@ -117,3 +118,22 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     while files() > before and time.time() < until:
         time.sleep(0.5)
     assert files() <= before and table.count() == 10000
+
+
+def test_waves_bound_the_copies_of_a_block():
+    for blocks in range(2, 40):
+        met = []
+        for distances in dedup.waves(blocks):
+            pairs = {tuple(sorted((b, (b + d) % blocks))) for d in distances for b in range(blocks)}
+            assert max(Counter(b for p in pairs for b in set(p)).values()) <= dedup.COPIES
+            met += pairs
+        assert sorted(met) == [(a, b) for a in range(blocks) for b in range(a, blocks)]
+
+
+def test_terms_are_numbered_rarest_first_and_packed_whole(spark):
+    texts = [f"board {'court' if k % 3 else 'fine'} lone{k}{' rule' if k < 3 else ''}" for k in range(9)]
+    docs = spark.createDataFrame([*enumerate(texts), (20, texts[0]), (21, None), (22, "the")], "doc_id long, text string")
+    terms, n = dedup.numbered_terms(docs)
+    assert n == 9 and sorted((r.term, r.df) for r in terms.collect()) == [(0, 3), (1, 3), (2, 6), (3, 9)]
+    x = np.array([0, 5, 70000, 2**31 - 1, 3])
+    assert dedup.unpacked([dedup.packed(x), dedup.packed(x[:2])], [5, 2]).tolist() == [*x, 0, 5]
