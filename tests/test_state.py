@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.operators import reports
 from vigil.sources import keyed, scratch
 from vigil.streaming.sweep import FIELDS, Sweeper
 
@@ -139,3 +140,10 @@ def test_sweeps_equal_replay(spark, tmp_path, gap):
     again = sweeper.sweep(spark.createDataFrame([[i[f] for f in [*FIELDS, "arrival_idx"]] for i in batches[2]], schema), 2, now(2))
     assert [x.url for x in again.orderBy("rank").collect()] == [u for e, u, _ in want if e == 2]
     assert scratch.exists(spark, str(tmp_path / "state"))
+
+
+def test_oldest_evidence_of_equal_rows_is_the_strongest(spark):
+    rows = [(k, f"u{k}", s, 1) for k in range(20) for s in (["weak", "strong", "moderate"] if k % 2 else ["moderate", "weak"])] + [(0, "u0", "strong", 2), (0, "u1", "strong", 1)]
+    for order in (rows, rows[::-1]):
+        got = reports.oldest_evidence(spark.createDataFrame(order, "action_id long, url string, strength string, arrival int").repartition(3))
+        assert sorted(map(tuple, got.collect())) == [(k, f"u{k}", "strong" if k % 2 else "moderate") for k in range(20)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from . import verification
 
 
 def registry_stats(sources: DataFrame) -> DataFrame:
@@ -30,8 +31,9 @@ def watch_entities(entities: DataFrame, skip: list[str], cap: int = 40) -> DataF
 
 
 def oldest_evidence(evidence: DataFrame) -> DataFrame:
-    """The oldest row of each action, as a variant of the strongest."""
-    return evidence.groupBy("action_id").agg(F.min_by(F.struct("url", "strength"), F.struct("arrival", "url")).alias("b")).select("action_id", "b.*")
+    """The oldest row of each action, as a variant of the strongest; of rows of one arrival and URL the strongest, however they are dealt out."""
+    order = F.struct("arrival", "url", -verification.strength_rank(), "strength")
+    return evidence.groupBy("action_id").agg(F.min_by(F.struct("url", "strength"), order).alias("b")).select("action_id", "b.*")
 
 
 def entity_events(edges: DataFrame) -> DataFrame:

@@ -46,10 +46,13 @@ def tier(row_tier: str, official: str, source: str) -> Column:
     )
 
 
+def strength_rank() -> Column:
+    return F.when(F.col("strength") == "strong", 3).when(F.col("strength") == "moderate", 2).when(F.col("strength") == "weak", 1).otherwise(0)
+
+
 def best_evidence(evidence: DataFrame) -> DataFrame:
     """The strongest of each action, the first of equals (then by URL)."""
-    rank = F.when(F.col("strength") == "strong", 3).when(F.col("strength") == "moderate", 2).when(F.col("strength") == "weak", 1).otherwise(0)
-    return evidence.groupBy("action_id").agg(F.min_by(F.struct("url", "strength", "arrival"), F.struct(-rank, "arrival", "url")).alias("b")).select("action_id", "b.*")
+    return evidence.groupBy("action_id").agg(F.min_by(F.struct("url", "strength", "arrival"), F.struct(-strength_rank(), "arrival", "url")).alias("b")).select("action_id", "b.*")
 
 
 def publishable(auto: bool = False) -> Column:
